@@ -11,9 +11,14 @@ from pyspark.sql import Column, functions as F
 from .text import strip
 
 
+def _digits(c: Column) -> Column:
+    return F.regexp_replace(c.cast("string"), "[^0-9]", "")
+
+
 def digits_only(c: Column) -> Column:
     """The digits of a text, NULL when there are none."""
-    return F.nullif(F.regexp_replace(c.cast("string"), "[^0-9]", ""), F.lit(""))
+    digits = _digits(c)
+    return F.when(digits != "", digits)
 
 
 def valid_gtin(c: Column) -> Column:
@@ -22,18 +27,20 @@ def valid_gtin(c: Column) -> Column:
     Padded to 14 digits, odd positions weigh 3 and even ones 1; with the check
     digit itself the weighted sum is a multiple of ten.
     """
-    digits = digits_only(c)
+    digits = _digits(c)
     padded = F.lpad(digits, 14, "0")
     weighted = [
         (F.ascii(F.substring(padded, i, 1)) - F.lit(ord("0"))) * F.lit(3 if i % 2 else 1)
         for i in range(1, 15)
     ]
-    good = F.length(digits).isin(8, 12, 13, 14) & (reduce(add, weighted) % 10 == 0)
-    return F.when(good, digits)
+    # One comparison instead of an AND, whose second operand Spark would not
+    # share: this way the padded digits are worked out once per row.
+    wanted = F.when(F.length(digits).isin(8, 12, 13, 14), F.lit(0)).otherwise(F.lit(-1))
+    return F.when(reduce(add, weighted) % 10 == wanted, digits)
 
 
 def _exact_length(c: Column, length: int) -> Column:
-    digits = digits_only(c)
+    digits = _digits(c)
     return F.when(F.length(digits) == length, digits)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
@@ -62,27 +63,35 @@ def _upper_folded(char: str, variant: str) -> str:
     return without_accents(char).upper()
 
 
+def _common_symbol(char: str) -> bool:
+    """Latin letters and general punctuation, which most texts draw from."""
+    return char < "\u0300" or "\u2000" <= char < "\u2070"
+
+
 @lru_cache(maxsize=None)
 def fold_table(variant: str = PIPELINE) -> FoldTable:
     """Derive the table from the Unicode database.
 
     The two variants differ in the order of upper-casing and accent removal:
-    ``º`` folds to ``O`` only when accents are removed first.
+    ``º`` folds to ``O`` only when accents are removed first. A frequent
+    character without any fold becomes a space, as it would later anyway, so
+    that most texts are pure ASCII after one pass.
     """
     one: list[tuple[str, str]] = []
     gone: list[str] = []
     several: dict[str, str] = {}
     for char in map(chr, range(0x80, sys.maxunicode + 1)):
-        if not (unicodedata.decomposition(char) or unicodedata.combining(char) or char.upper() != char):
+        changes = unicodedata.decomposition(char) or unicodedata.combining(char) or char.upper() != char
+        if not changes and not _common_symbol(char):
             continue
         folded = _upper_folded(char, variant)
+        kept = re.sub("[^A-Z0-9]", " ", folded)
         if folded == "":
             gone.append(char)
-            continue
-        kept = re.sub("[^A-Z0-9]", " ", folded)
-        if not kept.strip():
-            continue
-        if len(kept) == 1:
+        elif not kept.strip():
+            if _common_symbol(char):
+                one.append((char, " "))
+        elif len(kept) == 1:
             one.append((char, kept))
         else:
             several[char] = kept
@@ -93,32 +102,41 @@ def fold_table(variant: str = PIPELINE) -> FoldTable:
     )
 
 
-def _char_class(chars: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+def _char_class(chars: Iterable[str]) -> str:
+    """A regular expression class, with neighbours joined to ranges."""
+    ranges: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
 
 
 def _fold(c: Column, variant: str) -> Column:
     table = fold_table(variant)
     several = dict(table.several)
-    # The one frequent expansion gets a plain replace; the rest share a lookup
-    # that only rows holding such a character evaluate.
-    c = F.replace(c, F.lit("ß"), F.lit(several.pop("ß")))
+    # The one frequent expansion gets a plain replace. The others share a lookup
+    # that only rows still holding such a character evaluate.
+    c = F.translate(F.replace(c, F.lit("ß"), F.lit(several.pop("ß"))), table.source, table.target)
     lookup = F.map_from_arrays(
         F.split(F.lit("\n".join(several)), "\n"), F.split(F.lit("\n".join(several.values())), "\n")
     )
     spelled_out = F.array_join(
         F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), ""
     )
-    c = F.when(c.rlike(_char_class("".join(several))), spelled_out).otherwise(c)
-    return F.translate(c, table.source, table.target)
+    return F.when(_is_ascii(c), c).when(c.rlike(_char_class(several)), spelled_out).otherwise(c)
 
 
 def fold_upper(c: Column, variant: str = PIPELINE) -> Column:
     """Upper case without accents. Characters outside ``A-Z0-9`` that have no
     such fold are left for the caller to drop."""
     c = c.cast("string")
-    ascii_only = F.length(c) == F.octet_length(c)
-    return F.upper(F.when(ascii_only, c).otherwise(_fold(c, variant)))
+    return F.upper(F.when(_is_ascii(c), c).otherwise(_fold(c, variant)))
 
 
 def normalize_description(c: Column, variant: str = PIPELINE) -> Column:
@@ -130,6 +148,7 @@ def normalize_description(c: Column, variant: str = PIPELINE) -> Column:
     words = F.regexp_replace(fold_upper(c, variant), "[^A-Z0-9]+", " ")
     kept = F.trim(F.regexp_replace(words, r"\b(?:" + "|".join(STOPWORDS) + r")\b ?", ""))
     if variant == PIPELINE:
+        # nullif works its argument out once; a CASE would do so twice.
         return F.nullif(kept, F.lit(""))
     return F.coalesce(kept, F.lit(""))
 
@@ -172,8 +191,8 @@ def natural_sorted(values: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    words = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
-    return F.size(words)
+    text = strip(F.coalesce(c, F.lit("")))
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"\s+")))
 
 
 def html_escape(c: Column) -> Column:

@@ -59,12 +59,12 @@ def mode_by_group(df: DataFrame, group: Sequence[str], value: str, date: str, al
     return counted.groupBy(*group).agg(best.alias("__best")).select(*group, F.col("__best.value").alias(alias))
 
 
-def evidence(profiles: DataFrame) -> DataFrame:
-    """Distinct attribute values per group and code, from classified profiles.
+def evidence(variants: DataFrame) -> DataFrame:
+    """Distinct attribute values per group and code, from classified variants.
 
     Empty values count for nothing, except an empty code, which is a code.
     """
-    described = profiles.where(F.col("descricao_normalizada").isNotNull())
+    described = variants.where(F.col("descricao_normalizada").isNotNull())
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in KINDS.items()])
     kept = F.filter(pairs, lambda p: p["value"].isNotNull() & ((p["value"] != "") | (p["kind"] == "codigo")))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, SOURCE_RANK)), F.col("fonte")), F.lit(99))

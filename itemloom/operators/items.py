@@ -3,7 +3,9 @@
 Everything the consolidation needs, except the item listing itself, depends on
 an item only through its texts, its year and its operation. ``profiles`` groups
 items by exactly those, once, and all later steps read the much smaller result.
-Cleaning and classification then run per distinct product, not per item.
+Annual sums come from the profiles; everything else from the ``variants``, which
+leave year and operation out as well. Cleaning and classification run there, per
+distinct product and unit, not per item.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from ..functions.codes import numeric_sort_value, valid_cest, valid_gtin, valid_
 from ..functions.text import normalize_description, normalize_unit, strip
 from ..functions.values import exact_part, inexact_part
 from ..sources.schemas import AUDITED_COLUMNS, PRODUCT_KEYS
-from .scale import broadcast_if_small, hot_key_join, number_within
+from .scale import hot_key_join, is_small, number_within
 
-#: Grouping of :func:`profiles`.
-PROFILE_KEYS = ["cnpj", "fonte", *PRODUCT_KEYS, "unid", "tipo_operacao", "ano"]
+#: Grouping of :func:`variants` and of :func:`profiles`.
+VARIANT_KEYS = ["cnpj", "fonte", *PRODUCT_KEYS, "unid"]
+PROFILE_KEYS = [*VARIANT_KEYS, "tipo_operacao", "ano"]
 
 
 def identified(items: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def integrity_score() -> Column:
 
 
 def clean_items(items: DataFrame) -> DataFrame:
-    """Add the cleaned columns; works on items and on profiles."""
+    """Add the cleaned columns; works on items and on variants."""
     return items.withColumns(
         {
             "descricao_normalizada": normalize_description(F.col("descricao")),
@@ -66,6 +69,13 @@ def profiles(items: DataFrame) -> DataFrame:
     )
 
 
+def variants(profiles: DataFrame) -> DataFrame:
+    """Profiles of all years and operations together, without their sums."""
+    return profiles.groupBy(*VARIANT_KEYS).agg(
+        F.sum("n").alias("n"), F.min("primeira").alias("primeira"), F.max("ultima").alias("ultima")
+    )
+
+
 def reference_table(df: DataFrame, keys: dict[str, str], value: str, duplicates: str = "error") -> DataFrame:
     """A reference table with trimmed, unique, non-null keys.
 
@@ -96,20 +106,22 @@ def classify(
     larger one, the distinct pairs of codes are classified and joined back, so
     no frequent or missing code can fill one task.
     """
-    tiers = []
-    if cest_ncm is not None:
-        keys = {"cest_limpo": "it_nu_cest", "ncm_limpo": "it_nu_ncm"}
-        tiers.append((list(keys), reference_table(cest_ncm, keys, "it_co_sefin", duplicates)))
-    if cest is not None:
-        tiers.append((["cest_limpo"], reference_table(cest, {"cest_limpo": "cest"}, "co-sefin", duplicates)))
-    if ncm is not None:
-        tiers.append((["ncm_limpo"], reference_table(ncm, {"ncm_limpo": "ncm"}, "co-sefin", duplicates)))
-    if not tiers:
+    both = {"cest_limpo": "it_nu_cest", "ncm_limpo": "it_nu_ncm"}
+    given = [
+        (table, keys, value)
+        for table, keys, value in (
+            (cest_ncm, both, "it_co_sefin"),
+            (cest, {"cest_limpo": "cest"}, "co-sefin"),
+            (ncm, {"ncm_limpo": "ncm"}, "co-sefin"),
+        )
+        if table is not None
+    ]
+    if not given:
         return items.withColumn("co_sefin_inferido", F.lit(None).cast("string"))
 
-    small = [(keys, broadcast_if_small(table)) for keys, table in tiers]
-    if all(table is not None for _, table in small):
-        return _first_tier(items, small)
+    tiers = [(list(keys), reference_table(table, keys, value, duplicates)) for table, keys, value in given]
+    if all(is_small(table) for table, _, _ in given):
+        return _first_tier(items, [(keys, F.broadcast(table)) for keys, table in tiers])
     pairs = items.groupBy("cest_limpo", "ncm_limpo").agg(F.count(F.lit(1)).alias("__n"))
     return hot_key_join(
         items, _first_tier(pairs, tiers), ["cest_limpo", "ncm_limpo"], ["co_sefin_inferido"], "__n"
@@ -129,7 +141,7 @@ def _first_tier(df: DataFrame, tiers: list[tuple[list[str], DataFrame]]) -> Data
 def product_index(products: DataFrame) -> DataFrame:
     """Distinct products of each taxpayer with their units and a running key.
 
-    ``products`` are profiles (or items) with the product columns and ``unid``;
+    ``products`` are variants (or items) with the product columns and ``unid``;
     missing values are values of their own and sort last. Next to the index
     columns the result has ``n_itens``, the items of the product, and what else
     follows from its texts, if it was given.

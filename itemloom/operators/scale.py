@@ -21,9 +21,9 @@ BROADCAST_ROWS = 500_000
 SPREAD = 512
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` marked for broadcast, or None when it has more than ``max_rows``."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else None
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table may be broadcast: it has no more than ``max_rows``."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:

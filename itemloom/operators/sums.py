@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import normalize_description
 from .groups import GROUP
 
 # Operation words, tested in this order, and their column names.
@@ -15,6 +16,9 @@ YEAR_COLUMNS = [
 OTHER_COLUMN = "Outros"
 
 
+_PARTS = ["qtd_exata", "qtd_resto", "valor_exato", "valor_resto"]
+
+
 def _total(exact: str, rest: str) -> Column:
     zero = F.lit(0.0)
     return F.coalesce(F.sum(exact).cast("double"), zero) + F.coalesce(F.sum(rest), zero)
@@ -22,8 +26,18 @@ def _total(exact: str, rest: str) -> Column:
 
 def annual_sums(profiles: DataFrame) -> DataFrame:
     """Quantity and value per group, year and operation; undated items are out
-    and a missing operation is a group of its own."""
-    dated = profiles.where(F.col("ano").isNotNull() & F.col("descricao_normalizada").isNotNull())
+    and a missing operation is a group of its own.
+
+    Added up per original description first, so that descriptions are normalised
+    once each.
+    """
+    by_text = (
+        profiles.where(F.col("ano").isNotNull())
+        .groupBy("cnpj", "descricao", "ano", "tipo_operacao")
+        .agg(*[F.sum(c).alias(c) for c in _PARTS])
+    )
+    described = by_text.withColumn("descricao_normalizada", normalize_description(F.col("descricao")))
+    dated = described.where(F.col("descricao_normalizada").isNotNull())
     return dated.groupBy(*GROUP, "ano", "tipo_operacao").agg(
         _total("qtd_exata", "qtd_resto").alias("qtd_total"), _total("valor_exato", "valor_resto").alias("valor_total")
     )

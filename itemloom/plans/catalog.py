@@ -53,8 +53,9 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select(*[cell(f) for f in df.schema.fields])
 
 
-def job(spark: SparkSession, sf_dir: str) -> Consolidation:
-    return Consolidation(canonical_items(s.sources(spark, sf_dir)), s.references(spark, sf_dir), reuse=True)
+def job(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Consolidation:
+    """The consolidation; steps are staged where a query reads them twice."""
+    return Consolidation(canonical_items(s.sources(spark, sf_dir)), s.references(spark, sf_dir), reuse)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,13 +140,12 @@ def canonical(spark, sf_dir):
 @registered
 def normalize_text(spark, sf_dir):
     text = F.col("text")
-    normal = normalize_description(text, PIPELINE)
-    return s.table(spark, sf_dir, "documents").select(
+    normal = s.table(spark, sf_dir, "documents").select(
         "doc_id",
-        normal.alias("descricao_normalizada"),
+        normalize_description(text, PIPELINE).alias("descricao_normalizada"),
         normalize_description(text, APP).alias("descricao_app"),
-        word_count(normal).cast("bigint").alias("palavras"),
     )
+    return normal.withColumn("palavras", word_count(F.col("descricao_normalizada")).cast("bigint"))
 
 
 @registered
@@ -191,20 +191,20 @@ def integrity_score(spark, sf_dir):
 @registered
 def classify_tiers(spark, sf_dir):
     return (
-        job(spark, sf_dir)
-        .profiles.groupBy("ncm_limpo", "cest_limpo", "co_sefin_inferido")
+        job(spark, sf_dir, reuse=False)
+        .variants.groupBy("ncm_limpo", "cest_limpo", "co_sefin_inferido")
         .agg(F.sum("n").alias("n"))
     )
 
 
 @registered
 def product_index(spark, sf_dir):
-    return shown(job(spark, sf_dir).product_index())
+    return shown(job(spark, sf_dir, reuse=False).product_index())
 
 
 @registered
 def audited_items(spark, sf_dir):
-    return shown(job(spark, sf_dir).audited_items())
+    return shown(job(spark, sf_dir, reuse=False).audited_items())
 
 
 # Groups
@@ -218,14 +218,14 @@ def mode_with_ties(spark, sf_dir):
 
 @registered
 def code_numbers(spark, sf_dir):
-    return job(spark, sf_dir).codes.select(
+    return job(spark, sf_dir, reuse=False).codes.select(
         *GROUP, "codigo", "freq", "seq_desag", "qtd_descricoes_diferentes", "codigo_desagregado"
     )
 
 
 @registered
 def representative_codes(spark, sf_dir):
-    return job(spark, sf_dir).representative_codes()
+    return job(spark, sf_dir, reuse=False).representative_codes()
 
 
 @registered
@@ -255,7 +255,7 @@ def code_mapping_summary(spark, sf_dir):
 
 @registered
 def annual_sums_long(spark, sf_dir):
-    return job(spark, sf_dir).sums
+    return job(spark, sf_dir, reuse=False).sums
 
 
 @registered
@@ -324,7 +324,7 @@ def page(spark, sf_dir):
 
 @registered
 def report_rows(spark, sf_dir):
-    index = job(spark, sf_dir).product_index()
+    index = job(spark, sf_dir, reuse=False).product_index()
     return html_rows(index).select("cnpj", "chave_produto", "html")
 
 
@@ -352,7 +352,7 @@ def export_visible(spark, sf_dir):
 
 @registered
 def csv_cells(spark, sf_dir):
-    return display_cells(job(spark, sf_dir).product_index())
+    return display_cells(job(spark, sf_dir, reuse=False).product_index())
 
 
 # Merges and bookkeeping

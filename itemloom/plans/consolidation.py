@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import groups as g
-from ..operators.items import audited_items, classify, clean_items, product_index, profiles
+from ..operators.items import audited_items, classify, clean_items, product_index, profiles, variants
 from ..operators.sums import annual_pivot, annual_sums, year_columns
 from ..sources.layouts import canonical_items
 from ..sources.schemas import PRODUCT_KEYS
@@ -42,17 +42,21 @@ class Consolidation:
 
     @cached_property
     def profiles(self) -> DataFrame:
+        return self._shared(profiles(self.items), "profiles")
+
+    @cached_property
+    def variants(self) -> DataFrame:
         r = self.references
-        classified = classify(clean_items(profiles(self.items)), r.cest_ncm, r.cest, r.ncm)
-        return self._shared(classified, "profiles")
+        classified = classify(clean_items(variants(self.profiles)), r.cest_ncm, r.cest, r.ncm)
+        return self._shared(classified, "variants")
 
     @cached_property
     def index(self) -> DataFrame:
-        return self._shared(product_index(self.profiles), "index")
+        return self._shared(product_index(self.variants), "index")
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return self._shared(g.evidence(self.profiles), "evidence")
+        return self._shared(g.evidence(self.variants), "evidence")
 
     @cached_property
     def codes(self) -> DataFrame:
