@@ -17,9 +17,6 @@ HOT_KEY_LIMIT = 1000
 #: Rows up to which a reference table is broadcast.
 BROADCAST_ROWS = 500_000
 
-#: Tasks over which the rows of hot keys are spread.
-SPREAD = 512
-
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table may be broadcast: it has no more than ``max_rows``."""
@@ -43,15 +40,17 @@ def hot_key_join(
     ``right`` has one row per key; its column ``rows`` tells how many left rows
     the key has. The few keys above the limit are broadcast, and their left
     rows, already matched, are spread over many tasks in the shuffled join that
-    serves all other keys. The result is ``left`` plus ``values``.
+    serves all other keys. They are spread by the task they come from, which
+    grows with the data, separates even identical rows, and is the same if the
+    task has to be repeated. The result is ``left`` plus ``values``.
     """
     total = right.agg(F.sum(rows)).scalar()
     hot = right.where(F.col(rows) * HOT_KEY_LIMIT > total).select(
         *prefixed(keys, "__hot_"), F.struct(*values).alias("__hot")
     )
     marked = left.join(F.broadcast(hot), same_keys(left, hot, keys, "__hot_"), "left").drop(*[f"__hot_{k}" for k in keys])
-    salt = F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(SPREAD)) + 1
-    marked = marked.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(salt).cast("int"))
+    marked = marked.withColumn("__task", F.spark_partition_id())
+    marked = marked.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.col("__task") + 1))
     cold = right.select(
         *prefixed(keys, "__key_"), F.struct(*values).alias("__cold"), F.lit(0).alias("__zero")
     )
@@ -74,17 +73,19 @@ def number_within(
     A window would sort a whole group in one task. Here rows are range
     partitioned by group and order, so a large group spans many tasks; each
     row's position is staged, and the rows a group has in earlier partitions are
-    added from one small total per group and partition.
+    added from one small total per group and partition. Rows equal in group and
+    order are told apart by the task they come from.
     """
     keys = [F.col(g).asc_nulls_last() for g in groups] + list(order)
     position = F.monotonically_increasing_id()
     staged = stage(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        df.withColumn("__task", F.spark_partition_id())
+        .repartitionByRange(*keys, "__task")
+        .sortWithinPartitions(*keys, "__task")
         .withColumn("__id", position)
         .withColumn("__part", F.shiftright("__id", 33).cast("int"))
         .withColumn("__pos", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("__id"),
+        .drop("__id", "__task"),
         name,
     )
     pieces = staged.groupBy(*groups, "__part").agg(

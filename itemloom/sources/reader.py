@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.conditions import Condition, apply_conditions
 
@@ -14,10 +14,22 @@ from ..functions.conditions import Condition, apply_conditions
 FETCH_SIZE = 50_000
 
 
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose taxpayer id is text.
+
+    Where the id is a folder name, Spark would take it for a number and lose
+    its leading zeros.
+    """
+    df = spark.read.parquet(path)
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "cnpj" else f for f in df.schema.fields]
+    schema = T.StructType(fields)
+    return df if schema == df.schema else spark.read.schema(schema).parquet(path)
+
+
 def load_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet table, or None when nothing is at the path."""
     try:
-        return spark.read.parquet(path)
+        return load_table(spark, path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -27,7 +39,7 @@ def load_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 def load_dataset(
     spark: SparkSession, path: str, conditions: Iterable[Condition] = (), columns: Iterable[str] = ()
 ) -> DataFrame:
-    df = apply_conditions(spark.read.parquet(path), conditions)
+    df = apply_conditions(load_table(spark, path), conditions)
     columns = list(columns)
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from .reader import load_if_exists
+from .reader import load_if_exists, load_table
 
 CLUSTERED = "clustered"
 TAXPAYER = "taxpayer"
@@ -52,14 +52,17 @@ def save_table(df: DataFrame, path: str, keys: Sequence[str], layout: str = CLUS
 
     Range partitioning keeps the files of one taxpayer together, so that file
     statistics prune by ``cnpj``, yet spreads a very large taxpayer over many
-    tasks. With the taxpayer layout each taxpayer also gets a folder; the same
+    tasks; rows with equal keys are split by the task they come from. With the
+    taxpayer layout each taxpayer also gets a folder; the same
     clustering bounds the number of files by taxpayers plus tasks.
     """
     order = [f"`{c}`" for c in ("cnpj", *keys)]
     rows = Observation()
     writer = (
-        df.repartitionByRange(*order)
+        df.withColumn("__task", F.spark_partition_id())
+        .repartitionByRange(*order, "__task")
         .sortWithinPartitions(*order)
+        .drop("__task")
         .observe(rows, F.count(F.lit(1)).alias("n"))
         .write.mode("overwrite")
         .option("compression", "snappy")
@@ -107,4 +110,4 @@ def editable_table(spark: SparkSession, source: str, base: str) -> tuple[int, Da
             raise FileNotFoundError("A tabela de origem para agregação não foi encontrada.")
         version = 0
         save_version(table, base, version)
-    return version, spark.read.parquet(version_path(base, version))
+    return version, load_table(spark, version_path(base, version))

@@ -1,0 +1,205 @@
+"""Filters, pages, reports, merges and the registry."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from itemloom.functions.conditions import CONTAINS, Condition, apply_conditions, with_quick_filters
+from itemloom.operators import explore as x, merge as m
+from itemloom.operators.registry import known_taxpayers, registry_upsert
+from itemloom.operators.report import export_view, html_report, html_rows, short_report, write_csv
+from itemloom.sources.schemas import REGISTRY
+from itemloom.sources.writer import latest_version
+
+ROWS = [("1.4", "Abc", ["A", "b"]), ("1.6", "bcd", []), ("x", None, None), ("", "", ["z"])]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.createDataFrame(ROWS, "n string, t string, l array<string>")
+
+
+@pytest.mark.parametrize("column, operator, value, kept", [
+    ("t", "contém", "BC", [0, 1]), ("t", "igual", "abc", []), ("t", "igual", "Abc", [0]), ("t", "começa com", "AB", [0]),
+    ("t", "termina com", "CD", [1]), ("t", "é nulo", "", [2, 3]), ("t", "não é nulo", "ignored", [0, 1]),
+    ("n", ">", "1,5", [1]), ("n", "<=", "1.4", [0]), ("n", ">", "x", [2]), ("n", "??", "1.6", [1]),
+    ("l", "contém", "a, b", [0]), ("l", "é nulo", "", [1, 2]), ("t", "contém", "", [0, 1, 2, 3]), ("", "igual", "x", [0, 1, 2, 3]),
+])
+def test_condition(spark, table, column, operator, value, kept):
+    got = apply_conditions(table, [Condition(column, operator, value)]).select("n").collect()
+    assert sorted(r.n for r in got) == sorted(ROWS[i][0] for i in kept)
+
+
+def test_numeric_filter_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).select(F.col("id").cast("double").alias("v"), F.lit("p").alias("other")).write.parquet(path)
+    df = apply_conditions(spark.read.parquet(path), [Condition("v", ">", "2,5")]).select("v")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(v,2.5)" in plan and "ReadSchema: struct<v:double>" in plan
+    assert df.count() == 2
+
+
+def test_quick_filters():
+    old = [Condition("NCM_padrao", CONTAINS, "9"), Condition("x", "igual", "1"), Condition("descrição_normalizada", CONTAINS, "q")]
+    columns = ["descrição_normalizada", "descricao", "NCM_padrao", "lista_cest", "x"]
+    got = with_quick_filters(old, {"descricao_normalizada": " a ", "ncm_padrao": "1", "cest_padrao": "2", "descricao": ""}, columns)
+    assert got == [
+        Condition("x", "igual", "1"), Condition("descrição_normalizada", CONTAINS, "a"),
+        Condition("NCM_padrao", CONTAINS, "1"), Condition("lista_cest", CONTAINS, "2"),
+    ]
+
+
+@pytest.mark.parametrize("deep", [0, 10**6])
+def test_pages(spark, monkeypatch, deep):
+    monkeypatch.setattr(x, "DEEP_OFFSET", deep)
+    df = spark.range(1050).select(F.col("id").alias("a"), (-F.col("id")).alias("b")).repartition(5)
+    view = x.explore(df, [Condition("a", "<", "1000")], ["b", "none"], page=3, size=300, order=["a"])
+    assert (view.total, view.pages, view.columns) == (1000, 4, ["b"])
+    assert [r.b for r in view.rows.collect()] == [-i for i in range(600, 900)]
+    assert [r.a for r in x.explore(df, page=-4, size=2, order=["a"]).rows.collect()] == [0, 1]
+    assert x.explore(df, [Condition("a", "<", "-1")]).pages == 1
+
+
+def test_export_modes(spark, table):
+    some = [Condition("t", "contém", "bc")]
+    assert export_view(table, "full", some, ["t"]).count() == 4
+    assert export_view(table, "filtered", some, ["t"]).columns == ["n", "t", "l"]
+    assert export_view(table, "visible", some, ["t", "none"]).columns == ["t"]
+    with pytest.raises(ValueError):
+        export_view(table, "other")
+
+
+def test_reports(spark, table, tmp_path):
+    assert html_rows(table.limit(1)).first().html == "<tr><td>1.4</td><td>Abc</td><td>A, b</td></tr>"
+    report = html_report(table.drop("l"), "T<", "1", "tab", ["n"], "n > 1", ["n"], dt.datetime(2024, 1, 2))
+    report.write.text(str(tmp_path / "html"))
+    parts = sorted((tmp_path / "html").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    assert "<title>T&lt;</title>" in text and "<dd>n &gt; 1</dd>" in text and "<dd>4</dd>" in text
+    assert text.index("<tr><td></td>") < text.index("<td>1.4") < text.index("<td>1.6") < text.index("<td>x") < text.index("</html>")
+    write_csv(table, str(tmp_path / "csv"))
+    back = spark.read.csv(str(tmp_path / "csv"), header=True)
+    assert back.columns == ["n", "t", "l"] and back.count() == 4
+    short = short_report(spark.range(10), ["id"], rows=3).collect()
+    assert [tuple(r) for r in short] == [("0", 10, True), ("1", 10, True), ("2", 10, True)]
+
+
+LISTS = ["lista_tipo_item", "lista_ncm", "lista_cest", "lista_gtin", "lista_unid", "lista_fontes", "lista_descricoes",
+         "lista_descricoes_normalizadas", "lista_chaves_produto"]
+
+
+def group(norm, desc, codes, **more):
+    row = {"cnpj": "1", "descrição_normalizada": norm, "descricao": desc, "codigo_padrao": codes[0] if codes else None,
+           "qtd_codigos": len(codes), "lista_codigos": codes, "tipo_item_padrao": None, "NCM_padrao": None, "CEST_padrao": None,
+           "GTIN_padrao": None, "Valores_Entradas_2023": 0.1, "descricao_padrao": norm, "co_sefin_inferido": None,
+           "conflito_co_sefin": False, "verificado": True}
+    row.update({name: [] for name in LISTS})
+    row.update(more)
+    return row
+
+
+def groups(spark, rows):
+    types = {"lista_": "array<string>", "qtd_": "bigint", "Valores_": "double", "conflito": "boolean", "verificado": "boolean"}
+    schema = ", ".join(f"`{n}` " + next((t for p, t in types.items() if n.startswith(p)), "string") for n in rows[0])
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+
+
+def assign(spark, rows, **more):
+    extra = "".join(f", {n} string" for n in more)
+    return spark.createDataFrame(
+        [("1", n, d, mid, o, *more.values()) for n, d, mid, o in rows],
+        "cnpj string, `descrição_normalizada` string, descricao string, merge_id string, ord int" + extra,
+    )
+
+
+TABLE = [
+    group("TINTA AZUL", "Tinta azul", ["[A10; 1]", "[B; 1]"], NCM_padrao="2", lista_ncm=["10", "9"], co_sefin_inferido="C1", lista_fontes=["nfe"]),
+    group("TINTA AZUL CLARA", "Tinta azul", ["[A10; 1]", "[A9; 4]"], NCM_padrao="10", lista_ncm=["9", "", None], lista_descricoes_normalizadas=["N2", "N10"]),
+    group("VERNIZ", "Verniz", ["[V; 2]"], GTIN_padrao=" 7 ", lista_fontes=["c170"]),
+    group("COLA", None, ["plain"]), group(None, None, []), group("FIM", "fim", ["[F; 1]"]),
+]
+
+
+def test_merge(spark):
+    table = groups(spark, TABLE)
+    chosen = assign(spark, [
+        ("TINTA AZUL", "Tinta azul", "m1", 1), ("TINTA AZUL CLARA", "Tinta azul", "m1", 2), ("VERNIZ", "Verniz", "m1", 3),
+        ("TINTA AZUL", "Tinta azul", "m1", 9), ("COLA", None, "alone", 1),
+    ])
+    result = m.merge_groups(table, chosen)
+    row = result.merged.first().asDict()
+    assert row["codigo_padrao"] == "A9"  # 4 beats 1 + 1
+    assert row["lista_codigos"] == ["[A9; 4]", "[A10; 1]", "[B; 1]", "[V; 2]"] and row["qtd_codigos"] == 4
+    assert row["descricao"] == "Tinta azul" and row["descrição_normalizada"] == "TINTA AZUL"
+    assert row["descricao_padrao"] == "TINTA AZUL CLARA"
+    assert row["lista_ncm"] == ["9", "10"] and row["NCM_padrao"] == "2" and row["GTIN_padrao"] == "7"
+    assert row["lista_descricoes_normalizadas"] == ["N2", "N10", "TINTA AZUL", "VERNIZ"]
+    assert row["lista_fontes"] == ["c170", "nfe"] and row["co_sefin_inferido"] == "C1"
+    assert row["Valores_Entradas_2023"] == 0.3 and row["verificado"] is False
+    left = {r["descrição_normalizada"] for r in result.updated.collect()}
+    assert left == {"TINTA AZUL", "COLA", None, "FIM"} and result.updated.count() == 4
+    assert [r.merge_id for r in result.rejected.collect()] == ["alone"]
+    log = result.log.first()
+    assert [o["codigo_padrao"] for o in log.linhas_origem] == ["[A10; 1]", "[A10; 1]", "[V; 2]"]
+    assert log.resultado["codigo_padrao"] == "A9"
+    strict = m.merge_groups(table, chosen, strict=True).merged.first()
+    assert strict.lista_fontes is None and strict.co_sefin_inferido is None and strict.Valores_Entradas_2023 is None
+
+
+def test_merge_with_given_texts(spark):
+    chosen = assign(spark, [("VERNIZ", "Verniz", "m", 1), ("COLA", None, "m", 2)], descricao_resultante=" Nº 5 ", descricao_normalizada_resultante="")
+    row = m.merge_groups(groups(spark, TABLE), chosen).merged.first()
+    assert (row.descricao, row["descrição_normalizada"], row.codigo_padrao) == ("Nº 5", "5", "V")
+    assert {e for e in row.lista_codigos} == {"[plain; 1]", "[V; 2]"}
+
+
+def test_merge_without_codes_and_null_keys(spark):
+    rows = [*TABLE, group("SEM", None, [])]
+    chosen = assign(spark, [(None, None, "m", 1), ("SEM", None, "m", 2)])
+    result = m.merge_groups(groups(spark, rows), chosen)
+    assert result.merged.count() == 0 and result.updated.count() == 7 and result.rejected.count() == 1
+
+
+def test_row_in_two_merges(spark):
+    chosen = assign(spark, [("VERNIZ", "Verniz", "m", 1), ("VERNIZ", "Verniz", "n", 1), ("FIM", "fim", "n", 2)])
+    with pytest.raises(Exception, match="mais de uma"):
+        m.merge_groups(groups(spark, TABLE), chosen).merged.collect()
+
+
+def test_older_table(spark):
+    old = groups(spark, TABLE).drop("descricao_padrao")
+    assert m.with_default_description(old).where("descricao_padrao = 'FIM'").count() == 1
+
+
+def test_versions_and_log(spark, tmp_path):
+    source, base, log = (str(tmp_path / n) for n in ("source", "editable", "log"))
+    groups(spark, TABLE).write.parquet(source)
+    with pytest.raises(FileNotFoundError):
+        m.apply_merges(spark, str(tmp_path / "none"), str(tmp_path / "e2"), assign(spark, [("FIM", "fim", "m", 1)]), log)
+    m.apply_merges(spark, source, base, assign(spark, [("VERNIZ", "Verniz", "m", 1), ("COLA", None, "m", 2)]), log)
+    m.apply_merges(spark, source, base, assign(spark, [("FIM", "fim", "m2", 1), ("TINTA AZUL", "Tinta azul", "m2", 2)]), log)
+    assert latest_version(spark, base) == 2
+    assert spark.read.parquet(source).count() == 6
+    assert spark.read.parquet(f"{base}/v000002").count() == 4
+    entries = spark.read.json(log)
+    assert [r.seq for r in m.log_tail(entries).collect()] == ["m", "m2"]
+    assert m.log_tail(entries, 1).first().seq == "m2"
+    assert json.loads(entries.toJSON().first())["regra_codigo_padrao"] == m.CODE_RULE
+
+
+def test_history(spark):
+    table = groups(spark, TABLE)
+    rest = m.without_merged(table, table.where("descricao = 'fim' or descricao is null"))
+    assert rest.count() == 3
+
+
+def test_registry(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    state = spark.createDataFrame([("2", t(1), None), ("1", t(1), t(2))], REGISTRY)
+    updates = spark.createDataFrame([("1", t(5), False), ("2", t(6), True), ("3", t(7), False), ("3", t(8), True)], "cnpj string, at timestamp_ntz, ran_now boolean")
+    got = [tuple(r) for r in registry_upsert(state, updates).collect()]
+    assert got == [("1", t(1), t(2)), ("2", t(1), t(6)), ("3", t(7), t(8))]
+    known = known_taxpayers(state, spark.createDataFrame([("9",), ("x",)], "cnpj string"))
+    assert [r.cnpj for r in known.collect()] == ["1", "2", "9"]
