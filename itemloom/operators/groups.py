@@ -298,9 +298,25 @@ def split_codes(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> Data
     )
 
 
-def code_mapping(codes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every original code of every group with its final code and status."""
-    final = groups.select(*GROUP, "codigo_padrao", "qtd_codigos", F.col("descricao").alias("descricao_final"))
+def described_codes(evidence: DataFrame, codes: DataFrame) -> DataFrame:
+    """Representative code, number of codes and description of each group."""
+    best = codes.groupBy(*GROUP).agg(F.min(code_key()).alias("best"), F.count(F.lit(1)).alias("qtd_codigos"))
+    texts = (
+        _attribute_rows(evidence.where(F.col("kind") == "descricao"), GROUP)
+        .groupBy(*GROUP)
+        .agg(_mode("descricao").alias("descricao"))
+    )
+    return best.join(texts, GROUP, "left").select(
+        *GROUP, F.col("best.codigo").alias("codigo_padrao"), "qtd_codigos", "descricao"
+    )
+
+
+def code_mapping(codes: DataFrame, described: DataFrame) -> DataFrame:
+    """Every original code of every group with its final code and status.
+
+    ``described`` comes from :func:`described_codes`, or is the group table.
+    """
+    final = described.select(*GROUP, "codigo_padrao", "qtd_codigos", F.col("descricao").alias("descricao_final"))
     original, representative = F.col("codigo_original"), F.col("codigo_padrao")
     split = F.col("codigo_desagregado")
     segregated, replaced = split.isNotNull(), original != representative

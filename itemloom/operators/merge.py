@@ -219,7 +219,7 @@ def merge_groups(
     )
     wanted = assignments.select("cnpj", _merge_id()).distinct()
     rejected = wanted.join(done, MERGE, "left_anti").withColumn(
-        "motivo", F.lit("Selecione pelo menos duas linhas, com ao menos um código.")
+        "motivo", F.lit("menos de duas linhas, ou nenhum código")
     )
     return MergeResult(
         kept.unionByName(merged.drop("merge_id")), merged, _log(rows, merged, target, at), rejected

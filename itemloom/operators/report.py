@@ -28,7 +28,7 @@ def export_view(
         return apply_conditions(df, conditions)
     if mode == "visible":
         return visible(apply_conditions(df, conditions), columns)
-    raise ValueError(f"Modo de exportação não suportado: {mode}")
+    raise ValueError(f"Modo desconhecido: {mode!r}; use full, filtered ou visible.")
 
 
 def display_cells(df: DataFrame) -> DataFrame:

@@ -51,9 +51,10 @@ def hot_key_join(
     marked = left.join(F.broadcast(hot), same_keys(left, hot, keys, "__hot_"), "left").drop(*[f"__hot_{k}" for k in keys])
     marked = marked.withColumn("__task", F.spark_partition_id())
     marked = marked.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.col("__task") + 1))
-    cold = right.select(
-        *prefixed(keys, "__key_"), F.struct(*values).alias("__cold"), F.lit(0).alias("__zero")
-    )
+    # Always 0, but not a constant: the optimizer would take a constant out of
+    # the join keys, and the salt with it.
+    zero = (F.col(rows) < 0).cast("int").alias("__zero")
+    cold = right.select(*prefixed(keys, "__key_"), F.struct(*values).alias("__cold"), zero)
     on_cold = (marked["__salt"] == cold["__zero"]) & same_keys(marked, cold, keys, "__key_")
     joined = marked.join(cold, on_cold, "left")
     found = F.coalesce(F.col("__hot"), F.col("__cold"))

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from ..functions.text import STOPWORDS
 from ..operators.extract import INVENTORY_REASONS
-from ..operators.merge import CODE_RULE  # noqa: F401
 from ..sources.layouts import INBOUND, INVENTORY, OUTBOUND, UNDEFINED
 from . import standins as s
 
 SEP = " | "
-YEARS = list(range(1990, 2031))
 
 
 def _upper_ascii(x: str) -> str:
@@ -49,11 +47,6 @@ def _nat(x: str) -> str:
     return f"case when regexp_matches({x}, '^[0-9]') then list_concat([''], {keyed}) else {keyed} end"
 
 
-def _natural_list(group: str, values: str, source: str) -> str:
-    """Grouped values in natural order, as text; needs distinct values."""
-    return f"(select {group}, string_agg({values}, '{SEP}' order by {_nat(values)}, {values}) as v from {source})"
-
-
 def _joined(x: str) -> str:
     return f"coalesce(string_agg(distinct {x}, '{SEP}' order by {x}), '')"
 
@@ -82,7 +75,7 @@ ITEMS = f"""items as (select {_ITEM_COLUMNS} from (
   union all {_source("nfce", tipo_item="null")}
   union all {_source("c170", tipo_operacao=f"case l_returnflag when 'A' then '{OUTBOUND}' else '{INBOUND}' end")}
   union all {_source(
-      "bloco_h", cnpj=s._id("p_partkey % 3"), descr_compl="p_type", tipo_operacao=f"'{INVENTORY}'",
+      "bloco_h", cnpj=s.taxpayer("p_partkey % 3"), descr_compl="p_type", tipo_operacao=f"'{INVENTORY}'",
       qtd="cast(p_size as double)", valor="p_retailprice", data_mov="timestamp '2001-12-31 00:00:00'")}
   union all {_source("fronteira", tipo_item="null", gtin="null", unid="null", data_mov="null")}))"""
 
@@ -182,7 +175,7 @@ code_lists as (select cnpj, dn, count(*) as qtd_codigos,
   from codes group by cnpj, dn)"""
 
 
-def _year_list(prefix: str = "") -> str:
+def _year_list() -> str:
     return ", ".join(
         f"coalesce({name}, 0.0) as {name}" if not name.startswith("Outros") else name for name, _, _ in _PIVOT_COLUMNS
     )
@@ -319,9 +312,7 @@ def _merge_ctes() -> list[str]:
 def _merged() -> str:
     lists = ", ".join(f"coalesce(l_{n}.v, '') as {n}" for n in _MERGE_LISTS)
     modes = ", ".join(f'p_{n}.v as "{n}"' for n in _MERGE_MODES if n != "mode_descricao")
-    years = ", ".join(
-        f"coalesce({n}, 0.0) as {n}" if not n.startswith("Outros") else n for n, _, _ in _PIVOT_COLUMNS
-    )
+    years = _year_list()
     joins = "\n".join(
         f"left join {t} using (cnpj, merge_id)"
         for t in [f"l_{n}" for n in _MERGE_LISTS] + [f"p_{n}" for n in _MERGE_MODES]

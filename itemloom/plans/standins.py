@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.codes import valid_cest, valid_ncm
 from ..operators.merge import NORMALIZED
 from ..sources.layouts import INBOUND, OUTBOUND, UNDEFINED
 from .consolidation import References
@@ -15,7 +16,7 @@ from .consolidation import References
 CUTOFF = "30/06/2000"
 
 
-def _id(key: str) -> str:
+def taxpayer(key: str) -> str:
     return f"lpad(cast({key} as string), 14, '0')"
 
 
@@ -36,7 +37,7 @@ PRODUCT = {
 
 #: Columns of an item that depend on the line.
 LINE = {
-    "cnpj": _id("l_suppkey % 3"),
+    "cnpj": taxpayer("l_suppkey % 3"),
     "tipo_item": "lpad(cast(p_size % 3 as string), 2, '0')",
     "tipo_operacao": f"case l_returnflag when 'R' then '{INBOUND}' when 'A' then '{OUTBOUND}' else '{UNDEFINED}' end",
     "ind_oper": "case l_returnflag when 'R' then '0' when 'A' then '1' else '9' end",
@@ -54,7 +55,7 @@ LINES_OF = {
 #: Filings: an order is a filing of its customer for the month of its date.
 FILING = {
     "id": "o_orderkey",
-    "cnpj": _id("o_custkey"),
+    "cnpj": taxpayer("o_custkey"),
     "dt_ini": "cast(date_trunc('month', o_orderdate) as date)",
     "data_entrega": "o_orderdate",
 }
@@ -63,8 +64,8 @@ FILING = {
 DOCUMENT = {
     "chave_acesso": "cast(l_orderkey as string)",
     "seq_nitem": "l_linenumber",
-    "co_emitente": _id("l_suppkey"),
-    "co_destinatario": _id("o_custkey"),
+    "co_emitente": taxpayer("l_suppkey"),
+    "co_destinatario": taxpayer("o_custkey"),
     "co_tp_nf": "case when o_orderstatus = 'P' then null when l_linestatus = 'O' then 1 else 0 end",
     "prod_cprod": PRODUCT["codigo"],
     "prod_xprod": PRODUCT["descricao"],
@@ -235,7 +236,7 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "tipo_operacao": "tipo_operacao", "qtd_comercial": "qtd", "valor_produto": "valor",
     }
     inventory = table(spark, sf_dir, "part").select(
-        F.expr(_id("p_partkey % 3")).alias("cnpj"),
+        F.expr(taxpayer("p_partkey % 3")).alias("cnpj"),
         F.lit("2001-12-31").cast("date").alias("dt_inv"),
         *columns(
             {**PRODUCT, "tipo": LINE["tipo_item"], "type": "p_type", "size": "cast(p_size as string)", "price": "p_retailprice"},
@@ -255,8 +256,6 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def references(spark: SparkSession, sf_dir: str) -> References:
     """Goods classes by the codes that occur, for the sizes each table covers."""
-    from ..functions.codes import valid_cest, valid_ncm
-
     part = table(spark, sf_dir, "part").select(
         "p_size",
         valid_ncm(F.expr(PRODUCT["ncm"])).alias("ncm"),

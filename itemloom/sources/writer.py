@@ -53,8 +53,8 @@ def save_table(df: DataFrame, path: str, keys: Sequence[str], layout: str = CLUS
     Range partitioning keeps the files of one taxpayer together, so that file
     statistics prune by ``cnpj``, yet spreads a very large taxpayer over many
     tasks; rows with equal keys are split by the task they come from. With the
-    taxpayer layout each taxpayer also gets a folder; the same
-    clustering bounds the number of files by taxpayers plus tasks.
+    taxpayer layout each taxpayer also gets a folder; the same clustering bounds
+    the number of files by taxpayers plus tasks.
     """
     order = [f"`{c}`" for c in ("cnpj", *keys)]
     rows = Observation()
@@ -107,7 +107,7 @@ def editable_table(spark: SparkSession, source: str, base: str) -> tuple[int, Da
     if version is None:
         table = load_if_exists(spark, source)
         if table is None:
-            raise FileNotFoundError("A tabela de origem para agregação não foi encontrada.")
+            raise FileNotFoundError(f"Não há tabela de produtos em {source}.")
         version = 0
         save_version(table, base, version)
     return version, load_table(spark, version_path(base, version))
