@@ -15,7 +15,7 @@ from operator import and_, ge, gt, le, lt
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .text import without_accents
-from .values import list_text, try_number
+from .values import list_text, plain_text, try_number
 
 CONTAINS = "contém"
 EQUALS = "igual"
@@ -50,7 +50,7 @@ def _number(value: str) -> float | None:
 
 def compile_condition(cond: Condition, data_type: T.DataType) -> Column:
     raw = F.col(f"`{cond.column}`")
-    as_text = list_text(raw) if isinstance(data_type, T.ArrayType) else raw.cast("string")
+    as_text = list_text(raw) if isinstance(data_type, T.ArrayType) else plain_text(raw, data_type)
     text = F.coalesce(as_text, F.lit(""))
     value = cond.value or ""
     match cond.operator:

@@ -75,6 +75,38 @@ def normalize_types(df: DataFrame) -> DataFrame:
     return df.select(*[typed(f) for f in df.schema.fields])
 
 
+def _double_text(c: Column) -> Column:
+    """A double with all its digits; an exponent only from 1e16 and below 1e-4."""
+    raw = c.cast("string")
+    digits = F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    exponent = F.regexp_extract(raw, "E(-?[0-9]+)$", 1)
+    power = F.replace(exponent, F.lit("-"), F.lit(""))
+    scientific = F.concat(
+        F.regexp_replace(F.regexp_extract(raw, "^([^E]*)E", 1), r"\.0$", ""),
+        F.when(exponent.startswith("-"), F.lit("e-")).otherwise(F.lit("e+")),
+        F.lpad(power, F.greatest(F.length(power), F.lit(2)), "0"),
+    )
+    size = F.abs(c)
+    return (
+        F.when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain)
+        .when(F.isnan(c), F.lit("nan"))
+        .when(size == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .otherwise(scientific)
+    )
+
+
+def plain_text(c: Column, data_type: T.DataType) -> Column:
+    """Text of a value, NULL where it is missing."""
+    if isinstance(data_type, T.DoubleType):
+        return _double_text(c)
+    text = c.cast("string")
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        # All six digits of a fraction, or none.
+        return F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
+    return text
+
+
 def list_text(c: Column, separator: str = ", ") -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), separator)
 
@@ -84,4 +116,5 @@ def display_cell(c: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.ArrayType):
         element = data_type.elementType
         c = F.array_join(F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: display_cell(x, element)), ", ")
-    return F.coalesce(c.cast("string"), F.lit(""))
+        data_type = T.StringType()
+    return F.coalesce(plain_text(c, data_type), F.lit(""))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.codes import code_entry, numeric_sort_value, split_code
+from ..functions.text import strip
 from ..functions.values import wall_micros
 from .scale import hot_key_join, number_within
 
@@ -51,7 +52,7 @@ def mode_by_group(df: DataFrame, group: Sequence[str], value: str, date: str, al
     """Most frequent value per group that has any value that is not blank."""
     weight = F.sum("n") if "n" in df.columns else F.count(F.lit(1))
     counted = (
-        df.where(F.trim(F.col(value)) != "")
+        df.where(strip(F.col(value).cast("string")) != "")
         .groupBy(*group, value)
         .agg(weight.alias("__freq"), F.max(date).alias("__date"))
     )
@@ -59,6 +60,17 @@ def mode_by_group(df: DataFrame, group: Sequence[str], value: str, date: str, al
     return counted.groupBy(*group).agg(best.alias("__best")).select(*group, F.col("__best.value").alias(alias))
 
 
+def first_seen() -> Column:
+    """Sort key of a variant: its source's rank, then its first date, missing
+    last. One number, so that aggregates of it need no sort; every year from 1
+    to 9999 keeps its microseconds."""
+    rank = F.lit(len(SOURCE_RANK) + 1)
+    for place, source in enumerate(SOURCE_RANK, 1):
+        rank = F.when(F.col("fonte") == source, F.lit(place)).otherwise(rank)
+    since = F.coalesce(wall_micros(F.col("primeira")) + 10**17, F.lit(9 * 10**17))
+    return rank.cast("bigint") * 10**18 + since
+
+
 def evidence(variants: DataFrame) -> DataFrame:
     """Distinct attribute values per group and code, from classified variants.
 
@@ -67,10 +79,6 @@ def evidence(variants: DataFrame) -> DataFrame:
     described = variants.where(F.col("descricao_normalizada").isNotNull())
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in KINDS.items()])
     kept = F.filter(pairs, lambda p: p["value"].isNotNull() & ((p["value"] != "") | (p["kind"] == "codigo")))
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SOURCE_RANK)), F.col("fonte")), F.lit(99))
-    first_seen = F.struct(
-        rank.alias("rank"), F.col("primeira").isNull().alias("undated"), F.col("primeira").alias("date")
-    )
     return (
         described.select(
             *GROUP,
@@ -79,7 +87,7 @@ def evidence(variants: DataFrame) -> DataFrame:
             "n",
             "ultima",
             "score_integridade",
-            first_seen.alias("first_seen"),
+            first_seen().alias("first_seen"),
         )
         .groupBy(*GROUP, "codigo_item", F.col("pair.kind").alias("kind"), F.col("pair.value").alias("value"))
         .agg(

@@ -88,7 +88,8 @@ class Consolidation:
         return g.split_codes(self.evidence, self.codes, self.index)
 
     def code_mapping(self) -> DataFrame:
-        return g.code_mapping(self.codes, g.described_codes(self.evidence, self.codes))
+        described = self._shared(g.described_codes(self.evidence, self.codes), "described")
+        return g.code_mapping(self.codes, described)
 
     def product_index(self) -> DataFrame:
         return self.index.select("cnpj", "chave_produto", *PRODUCT_KEYS, "lista_unidades")

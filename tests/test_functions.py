@@ -154,3 +154,13 @@ def test_display_cells(spark):
     from itemloom.operators.report import display_cells
 
     assert tuple(display_cells(df).first()) == ("a, b", "", "true", "3", "1.5")
+
+
+def test_numbers_and_times_as_text(spark):
+    numbers = [0.0, 1.0, -1.5, 1e7, 12345678.9, 0.1, 1e-4, 0.00012345678901234567, 1e-5, 1.5e-7, 9999999999999998.0, 1e16,
+               1.25e300, -2e-100, 123456789012345.67, float("inf"), float("-inf"), float("nan"), None]
+    show = lambda c: values.display_cell(c, T.DoubleType())
+    assert apply(spark, show, numbers, "x double") == ["" if n is None else str(n) for n in numbers]
+    times = [datetime.datetime(2024, 1, 2, 3, 4, 5), datetime.datetime(2024, 1, 2, 3, 4, 5, 120000)]
+    show = lambda c: values.display_cell(c, T.TimestampNTZType())
+    assert apply(spark, show, times, "x timestamp_ntz") == [str(t) for t in times]
