@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .near_dedup import near_duplicates
+from .substring_dedup import remove_repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(documents(spark, sf_dir), width=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)
 
 
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM places
+), firsts AS (
+  SELECT s, min(doc_id) AS first FROM windows GROUP BY s
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS j
+  FROM windows JOIN firsts USING (s), (SELECT unnest(range(0, 13)) AS k)
+  WHERE first < doc_id
+), removed AS (
+  SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string([w[j] FOR j IN range(1, len(w) + 1) IF js IS NULL OR NOT list_contains(js, j)], ' ')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": _OP5_SQL,
+}
