@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeats
+from .toxicity import toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +18,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)
 
 
 QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
 }
 

@@ -19,6 +19,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_SPACE = ~_SPACE
 
+#: ASCII letters, and all bytes of characters beyond ASCII.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+
 #: Maps A-Z to a-z and all other bytes to themselves.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -90,13 +94,17 @@ def pieces(offsets: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the first word of each row (rows + 1)."""
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = NOT_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the first word of each row (rows + 1).
+
+    A word is a maximal run of bytes of ``letters`` in one row."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    inside = NOT_SPACE[data]
+    inside = letters[data]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
