@@ -81,34 +81,41 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _fine(texts: DataFrame, width: int) -> DataFrame:
-    """(doc, fine): sketch of ``FINE_BINS`` bins, one byte each."""
+    """(doc, fine, keys): sketch of ``FINE_BINS`` bins, one byte each, and the keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
             elements, first = shingle_sets(data, offsets, width)
             owner = np.repeat(np.arange(part.num_rows), np.diff(first))
-            sketch = fast_similarity_sketch(elements, owner, part.num_rows, FINE_BINS).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["doc", "fine"]
-            )
+            fine = fast_similarity_sketch(elements, owner, part.num_rows, FINE_BINS).astype(np.uint8)
+            keys = band_keys(fast_similarity_sketch(elements, owner, part.num_rows, BANDS * ROWS), BANDS, ROWS)
+            columns = [pa.array([row.tobytes() for row in table], pa.binary()) for table in (fine, keys)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc", "fine", "keys"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, fine binary")
+    return texts.select("doc", "text").mapInArrow(run, "doc long, fine binary, keys binary")
 
 
 def _alike(percent: int):
-    """Compares a block: queries (role 1) against members of other components."""
+    """Compares a block: queries (role 1) against members of other components.
+
+    Two texts may meet in many buckets; the first one that they share names them.
+    """
     p = percent / 100 + (1 - percent / 100) / 256
     least = int(FINE_BINS * p - 5 * (FINE_BINS * p * (1 - p)) ** 0.5)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         fine = np.frombuffer(b"".join(block["fine"]), dtype=np.uint8).reshape(len(block), -1)
+        keys = np.frombuffer(b"".join(block["keys"]), dtype=np.int64).reshape(len(block), -1)
+        bucket = block["bucket"].iloc[0]
         doc, component, role = (block[c].to_numpy() for c in ("doc", "component", "role"))
         members = np.flatnonzero(role == 0)
         x, y = [], []
         for q in np.flatnonzero(role == 1):
             others = members[component[members] != component[q]]
             agree = np.count_nonzero(fine[others] == fine[q], axis=1)
-            close = doc[others[agree >= least]]
+            close = others[agree >= least]
+            first = (keys[close] == keys[q]).argmax(axis=1)
+            close = doc[close[keys[q][first] == bucket]]
             x.append(np.minimum(close, doc[q]))
             y.append(np.maximum(close, doc[q]))
         none = np.zeros(0, dtype=np.int64)
