@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .near_dedup import near_duplicates
+from .packing import pack_documents
 from .substring_dedup import remove_repeats
+from .token_files import token_files
 from .toxicity import toxicity
 
 
@@ -13,11 +15,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(documents(spark, sf_dir), width=13)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted", F.size("segments").alias("n_segments"))
@@ -28,7 +45,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_files": op6_token_files,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
 }
@@ -55,5 +74,6 @@ FROM words LEFT JOIN removed USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_packing": op2_packing,
     "op5_substring_dedup": _OP5_SQL,
 }
