@@ -29,13 +29,14 @@ class Symbols:
     row: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    lo: np.ndarray
-    hi: np.ndarray
+    lo: np.ndarray | None = None
+    hi: np.ndarray | None = None
 
     @classmethod
-    def of_words(cls, words: np.ndarray, row: np.ndarray) -> Symbols:
+    def of_words(cls, words: np.ndarray, row: np.ndarray, depends: bool) -> Symbols:
+        """``depends``: keep track of lo and hi, too."""
         at = np.arange(len(words))
-        return cls(words, row, at, at + 1, at, at + 1)
+        return cls(words, row, at, at + 1, *((at, at + 1) if depends else ()))
 
     def with_runs(self) -> Symbols:
         n = len(self.name)
@@ -48,6 +49,8 @@ class Symbols:
         last = np.append(at[1:], n) - 1
         length = (last - at + 1).astype(np.uint64)
         name = np.where(length > 1, mix(self.name[at] * _RUN + length), self.name[at])
+        if self.lo is None:
+            return Symbols(name, self.row[at], self.start[at], self.end[last])
         # That a run ends depends on its neighbours; the end of a text is no part of any window.
         lo = np.where(self._first(at), self.start[at] - 1, self.lo[at - 1])
         hi = np.where(self._final(last), self.end[last] + 1, self.hi[np.minimum(last + 1, n - 1)])
@@ -58,22 +61,25 @@ class Symbols:
         n = len(self.name)
         if not n:
             return self, np.zeros(0, dtype=bool)
-        at = np.arange(n)
         right = (mix(self.name, 31 + turn) & np.uint64(1)).astype(bool)
         joins = np.zeros(n, dtype=bool)  # a left symbol before a right one
         joins[:-1] = ~right[:-1] & right[1:] & (self.row[1:] == self.row[:-1])
         joined = np.zeros(n, dtype=bool)
         joined[1:] = joins[:-1]
+        keep = np.flatnonzero(~joined)
+        pair = joins[keep]
+        mate = np.minimum(keep + 1, n - 1)
+        name = self.name[keep]
+        name[pair] = mix(name[pair] * _LEFT + self.name[mate[pair]] * _RIGHT)
+        end = np.where(pair, self.end[mate], self.end[keep])
+        if self.lo is None:
+            return Symbols(name, self.row[keep], self.start[keep], end), pair
         # An unpaired symbol depends on the neighbour it might have been paired with.
+        at = np.arange(n)
         before = np.where(self._first(at), self.start - 1, self.lo[at - 1])
         after = np.where(self._final(at), self.end + 1, self.hi[np.minimum(at + 1, n - 1)])
         lo = np.where(right & ~joined, np.minimum(before, self.lo), self.lo)
         hi = np.where(~right & ~joins, np.maximum(after, self.hi), self.hi)
-        keep = np.flatnonzero(~joined)
-        pair = joins[keep]
-        mate = np.minimum(keep + 1, n - 1)
-        name = np.where(pair, mix(self.name[keep] * _LEFT + self.name[mate] * _RIGHT), self.name[keep])
-        end = np.where(pair, self.end[mate], self.end[keep])
         high = np.where(pair, np.maximum(hi[keep], hi[mate]), hi[keep])
         low = np.where(pair, np.minimum(lo[keep], lo[mate]), lo[keep])
         return Symbols(name, self.row[keep], self.start[keep], end, low, high), pair
@@ -108,7 +114,7 @@ class Sequences:
 
 
 def long_symbols(words: np.ndarray, row: np.ndarray, rounds: int) -> Symbols:
-    symbols = Symbols.of_words(words, row)
+    symbols = Symbols.of_words(words, row, depends=False)
     for turn in range(rounds):
         symbols = symbols.with_runs().with_pairs(turn)[0]
     return symbols
@@ -130,7 +136,7 @@ def window_anchors(words: np.ndarray, first: np.ndarray, width: int, rounds: int
     window = np.arange(len(window_row)) + np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(starts)[:-1]]), starts)
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     best = np.full(len(words) + 1, none, dtype=np.uint64)
-    symbols = Symbols.of_words(words, row)
+    symbols = Symbols.of_words(words, row, depends=True)
     for turn in range(rounds):
         symbols, new = symbols.with_runs().with_pairs(turn)
         spare = symbols.lo - (symbols.hi - width)

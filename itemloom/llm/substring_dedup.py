@@ -72,8 +72,8 @@ def _long_repeats(docs: DataFrame, width: int) -> DataFrame:
                 names=["a", "b", "doc_id", "key", "start", "end"],
             )
 
-    spans = docs.mapInArrow(run, "a long, b long, doc_id long, key long, start int, end int")
-    first = spans.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    spans = stage(docs.mapInArrow(run, "a long, b long, doc_id long, key long, start int, end int"), "spans")
+    first = spans.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
         spans.join(first.select("a", "b", "first"), ["a", "b"])
         .where("first < doc_id")
@@ -96,13 +96,16 @@ def _open_windows(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, w
 
 
 def _names(docs: DataFrame, width: int) -> DataFrame:
+    """(name, doc_id): the distinct names of the windows of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
             _, _, _, row, name = _open_windows(part, data, offsets, width)
-            new = np.ones(len(name), dtype=bool)
-            new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
+            bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+            own = [np.unique(name[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in own]))
             yield pa.RecordBatch.from_arrays(
-                [signed(name[new]), part.column("doc_id").take(pa.array(row[new]))], names=["name", "doc_id"]
+                [signed(np.concatenate([name[:0], *own])), part.column("doc_id").take(rows)], names=["name", "doc_id"]
             )
 
     return docs.mapInArrow(run, "name long, doc_id long")
@@ -187,11 +190,11 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     certified = stage(_long_repeats(docs, width), "certified")
     marked = docs.join(certified.hint("shuffle_hash"), "doc_id", "left")
     names = _names(marked, width)
-    shared = names.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    shared = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     asked = names.join(shared.select("name").hint("shuffle_hash"), "name", "left_semi")
     asked = asked.groupBy("doc_id").agg(F.collect_set("name").alias("asked"))
     windows = _windows(marked.join(asked.hint("shuffle_hash"), "doc_id"), width)
-    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = (
         windows.join(first.select("a", "b", "first"), ["a", "b"])
         .where("first < doc_id")
