@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontamination import contaminated
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
@@ -35,6 +36,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contaminated(documents(spark, sf_dir), items, width=5, percent=80)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted", F.size("segments").alias("n_segments"))
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
 }
@@ -73,7 +80,25 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(len(js), 0) AS B
 FROM words LEFT JOIN removed USING (doc_id)
 """
 
+_OP7_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM benchmark
+), shingles AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM texts
+), items AS (
+  SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE kind = 'i'
+)
+SELECT d.id AS doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM shingles d JOIN items USING (s) WHERE kind = 'd'
+GROUP BY d.id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_packing": op2_packing,
     "op5_substring_dedup": _OP5_SQL,
+    "op7_decontamination": _OP7_SQL,
 }
