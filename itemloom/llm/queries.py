@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contaminated
+from .fingerprints import fingerprints
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
@@ -50,6 +51,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(documents(spark, sf_dir))
+    digest = F.sha2("edited", 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op5_substring_dedup": op5_substring_dedup,
@@ -57,6 +64,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 _OP5_SQL = r"""
