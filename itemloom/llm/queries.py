@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contaminated
 from .fingerprints import fingerprints
+from .language_id import languages
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
@@ -24,6 +25,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir), folds=5, held_out=0)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048)
 
@@ -58,6 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
