@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import licences as licence_rules
 from .decontamination import contaminated
 from .fingerprints import fingerprints
 from .language_id import languages
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quotations import linked_conversations
 from .substring_dedup import remove_repeats
 from .token_files import token_files
 from .toxicity import toxicity
@@ -33,6 +35,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048)
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_rules.licences(documents(spark, sf_dir))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(documents(spark, sf_dir), width=13)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,6 +75,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_licence_scan": op3_licence_scan,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
@@ -112,6 +124,7 @@ GROUP BY d.id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_licence_scan": licence_rules.oracle(),
     "op2_packing": op2_packing,
     "op5_substring_dedup": _OP5_SQL,
     "op7_decontamination": _OP7_SQL,
