@@ -119,9 +119,10 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         table = table.sort_by([(k, "ascending") for k in ("__order", *keys, "length")]).drop_columns(["__order"])
         bins, offset = best_place(table.column("length").to_numpy(), capacity)
         bins = bins + (TaskContext.get().partitionId() << 32)

@@ -125,7 +125,6 @@ GROUP BY d.id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licence_scan": licence_rules.oracle(),
-    "op2_packing": op2_packing,
     "op5_substring_dedup": _OP5_SQL,
     "op7_decontamination": _OP7_SQL,
 }
