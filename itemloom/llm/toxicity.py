@@ -19,6 +19,8 @@ SAMPLE_ROWS = 50_000
 MAX_FEATURES, LEAST_Z = 50_000, 3.0
 #: Weight of the Dirichlet prior against the sample; it is spread over the features like the sample.
 PRIOR_SHARE = 0.1
+#: A feature scores its log-odds less so many standard deviations, so that rare ones count less.
+CAUTION = 2.0
 #: Score of every token that is no feature.
 DRIFT = -0.25
 #: Besides a word itself, its first bytes are features, so that inflected words are known.
@@ -123,13 +125,16 @@ def _segments(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
         maybe[(model.features & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for part, data, offsets in text_batches(batches):
             features, first = _features(data, offsets)
-            score = np.zeros(len(features[0]))
+            score, which = np.zeros(len(features[0])), np.zeros(len(features[0]), dtype=np.int64)
             for f in reversed(features):  # a word counts before its prefixes, long ones before short ones
                 some = np.flatnonzero(maybe[(f & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(model.features, f[some]), max(len(model.features) - 1, 0))
                 known = model.features[at] == f[some] if len(some) else np.zeros(0, dtype=bool)
-                score[some[known]] = model.scores[at[known]]
+                score[some[known]], which[some[known]] = model.scores[at[known]], at[known]
             hits = np.flatnonzero(score > 0)
+            # A feature counts where a text has it first, as it was counted in learning.
+            rows = np.searchsorted(first, hits, side="right") - 1
+            hits = hits[np.sort(np.unique(rows * (len(model.features) + 1) + which[hits], return_index=True)[1])]
             bounds = np.searchsorted(hits, first)
             found = [
                 [
@@ -164,21 +169,6 @@ def _with_evidence(segments: DataFrame, model: Model) -> DataFrame:
     return segments.withColumn("segments", marked).withColumn("evidence", evidence)
 
 
-def _decay(scores: np.ndarray, share: np.ndarray) -> float:
-    """The positive root of: mean of exp(decay * score) over clean tokens is 1."""
-    rest = max(1.0 - share.sum(), 0.0)
-    if not len(scores) or (share @ scores) + rest * DRIFT >= 0:
-        return 0.1
-    value = lambda x: share @ np.exp(np.minimum(x * scores, 600)) + rest * np.exp(x * DRIFT) - 1
-    low, high = 1e-6, 1.0
-    while value(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if value(middle) < 0 else (low, middle)
-    return high
-
-
 def _rising(bad: np.ndarray, all_: np.ndarray) -> np.ndarray:
     """Chance of the toxic label by step: smoothed shares, pooled until they rise."""
     blocks: list[list[float]] = []
@@ -214,18 +204,22 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4) -
     weight = PRIOR_SHARE * (n_bad + n_clean)
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + weight) - F.col(y) - prior))
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    scored = counts.select("feature", "clean", (odds("toxic", n_bad) - odds("clean", n_clean)).alias("score"), spread.alias("spread"))
-    best = scored.where(F.col("score") / F.col("spread") >= LEAST_Z).orderBy(F.desc(F.col("score") / F.col("spread")), "feature")
-    rows = best.limit(MAX_FEATURES).toPandas()
-    model = Model(rows["feature"].to_numpy(dtype=np.int64).view(np.uint64), rows["score"].to_numpy())
-    model.decay = _decay(rows["score"].to_numpy(), rows["clean"].to_numpy() / max(n_clean, 1.0))
+    scored = counts.select("feature", (odds("toxic", n_bad) - odds("clean", n_clean)).alias("odds"), spread.alias("spread"))
+    best = scored.where(F.col("odds") / F.col("spread") >= LEAST_Z).orderBy(F.desc(F.col("odds") / F.col("spread")), "feature")
+    rows = best.limit(MAX_FEATURES).select("feature", (F.col("odds") - CAUTION * F.col("spread")).alias("score")).toPandas()
+    model = Model(rows["feature"].to_numpy(dtype=np.int64).view(np.uint64), rows["score"].to_numpy(dtype=np.float64))
+    if not len(rows):
+        return model
 
     rest = _segments(labelled.where(~learning), model, ["toxic"]).cache()
-    top = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    clean = rest.where("toxic = 0").agg(
-        F.count(F.lit(1)), F.sum(F.greatest("n_tokens", F.lit(1)) * F.exp(-F.lit(model.decay) * top))
-    ).first()
-    model.scale = clean[0] / clean[1] if clean[0] else 1e-3
+    # Scores of chance segments have an exponential tail above the smallest one:
+    # its rate is the inverse of their mean, its scale follows from their number.
+    least = float(model.scores.min())
+    total = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["score"] - least)
+    clean = rest.where("toxic = 0").agg(F.sum(F.size("segments")), F.sum(total), F.sum("n_tokens")).first()
+    if clean[0]:
+        model.decay = min(clean[0] / max(clean[1], 1e-9), 20.0)
+        model.scale = clean[0] / max(clean[2], 1) * float(np.exp(min(model.decay * least, 300.0)))
     step = F.least(F.floor(F.col("evidence") / STEP), F.lit(STEPS - 1)) + (F.col("evidence") > 0).cast("int")
     table = _with_evidence(rest, model).groupBy(step.cast("int").alias("step")).agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect()
     bad, every = np.zeros(STEPS + 1), np.zeros(STEPS + 1)
