@@ -36,7 +36,7 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     cut = remove_repeats(docs, width=13).where("n_removed > 0").select("doc_id", "key", "kept")
     cut = cut.dropDuplicates(["doc_id", "key"]).hint("shuffle_hash")
-    keyed = docs.withColumn("key", F.xxhash64("text"))
+    keyed = docs.withColumn("key", F.hash("text"))
     text = F.coalesce("kept", "text")
     return (
         keyed.join(cut, ["doc_id", "key"], "left")

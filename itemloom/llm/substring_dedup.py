@@ -13,8 +13,8 @@ from ..sources.writer import stage
 from .recompression import Sequences, long_symbols, window_anchors
 from .words import SpanHash, signed, text_batches, word_spans
 
-#: Rounds for long repeats (symbols of about 30 words), and for the symbols inside one window.
-LONG_ROUNDS, WINDOW_ROUNDS = 12, 1
+#: Rounds for long repeats (symbols of about 70 words), and for the symbols inside one window.
+LONG_ROUNDS, WINDOW_ROUNDS = 15, 1
 
 
 @lru_cache(maxsize=1)
@@ -72,7 +72,7 @@ def _long_repeats(docs: DataFrame, width: int) -> DataFrame:
                 names=["a", "b", "doc_id", "key", "start", "end"],
             )
 
-    spans = stage(docs.mapInArrow(run, "a long, b long, doc_id long, key long, start int, end int"), "spans")
+    spans = stage(docs.mapInArrow(run, "a long, b long, doc_id long, key int, start int, end int"), "spans")
     first = spans.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
         spans.join(first.select("a", "b", "first"), ["a", "b"])
@@ -136,7 +136,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
                 names=["a", "b", "doc_id", "key", "at"],
             )
 
-    return docs.mapInArrow(run, "a long, b long, doc_id long, key long, at int")
+    return docs.mapInArrow(run, "a long, b long, doc_id long, key int, at int")
 
 
 def _cut(docs: DataFrame, width: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _cut(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "key", "n_words", "n_removed", "kept"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_words long, n_removed long, kept string")
+    return docs.mapInArrow(run, "doc_id long, key int, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     tables to them. What a hot passage adds up to in one place is one row per
     task in aggregations, and joins that adaptive execution can split.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.hash("text").alias("key"), "text")
     certified = stage(_long_repeats(docs, width), "certified")
     marked = docs.join(certified.hint("shuffle_hash"), "doc_id", "left")
     names = _names(marked, width)
