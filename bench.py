@@ -23,12 +23,14 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    work = os.environ.get("BENCH_WORK") or tempfile.mkdtemp(prefix="itemloom-bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", work)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -45,7 +47,7 @@ def main() -> None:
     start = time.perf_counter()
     run_all(
         spark, standins.sources(spark, sf_dir), standins.references(spark, sf_dir),
-        tempfile.mkdtemp(prefix="itemloom-bench-"),
+        f"{work}/result",
     )
     seconds["run_all"] = round(time.perf_counter() - start, 3)
     print(

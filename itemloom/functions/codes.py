@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import add
 
@@ -11,6 +10,9 @@ from pyspark.sql import Column, functions as F
 from .text import strip
 
 
+_COUNT = "decimal(30,0)"
+
+
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), "[^0-9]", "")
 
@@ -59,7 +61,7 @@ def numeric_sort_value(c: Column) -> Column:
 
 def code_entry(code: Column, count: Column) -> Column:
     """``[code; n]``."""
-    return F.format_string("[%s; %d]", code, count)
+    return F.concat(F.lit("["), code, F.lit("; "), count.cast("string"), F.lit("]"))
 
 
 def split_code(code: Column, number: Column) -> Column:
@@ -68,12 +70,16 @@ def split_code(code: Column, number: Column) -> Column:
 
 
 def parse_code_entry(entry: Column) -> Column:
-    """``[code; n]`` as ``struct(codigo, n)``; any other text counts once."""
+    """``[code; n]`` as ``struct(codigo, n)``; any other text counts once.
+
+    Counts are decimals of 30 digits; a longer one counts as the largest of them.
+    """
     pattern = r"^\[(.*?);\s*(\d+)\]"
     matched = entry.rlike(pattern)
+    count = F.coalesce(F.regexp_extract(entry, pattern, 2).try_cast(_COUNT), F.lit("9" * 30).cast(_COUNT))
     return F.struct(
         F.when(matched, strip(F.regexp_extract(entry, pattern, 1))).otherwise(entry).alias("codigo"),
-        F.when(matched, F.regexp_extract(entry, pattern, 2).try_cast("bigint")).otherwise(F.lit(1)).alias("n"),
+        F.when(matched, count).otherwise(F.lit(1).cast(_COUNT)).alias("n"),
     )
 
 
@@ -84,8 +90,8 @@ def taxpayer_id(c: Column, strict: bool = False) -> Column:
 
 
 def clean_taxpayer_id(value: str | None, strict: bool = False) -> str:
-    """The same for a job parameter, which must be valid."""
-    digits = re.sub(r"\D", "", value or "")
-    if not digits or (strict and len(digits) != 14):
-        raise ValueError("Informe um CNPJ válido.")
-    return digits
+    """The same for a job parameter, which has to have digits, or 14 if strict."""
+    digits = "".join(c for c in value or "" if c in "0123456789")
+    if len(digits) in ((14,) if strict else range(1, len(value or "") + 1)):
+        return digits
+    raise ValueError(f"{value!r} is no taxpayer id: it needs {'14' if strict else 'some'} digits")

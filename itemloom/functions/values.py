@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 EXACT = "decimal(28,10)"
+#: What a sum keeps of a number beyond :data:`EXACT`: ten fraction digits, then fifteen more.
+_FINE, _FINE_UNITS = "decimal(38,10)", 1e15
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+|inf|infinity)([eE][+-]?\d+)?\s*$"
 
 
@@ -43,18 +45,28 @@ def wall_micros(c: Column) -> Column:
 
 
 def exact_part(c: Column) -> Column:
-    """What of a number can be summed exactly, in any order."""
+    """What of a number can be summed exactly: its first ten fraction digits."""
     return c.try_cast(EXACT)
 
 
 def inexact_part(c: Column) -> Column:
-    """The rest: numbers too large for :data:`EXACT`."""
-    return F.when(c.try_cast(EXACT).isNull(), c)
+    """The rest: all of a number too large for :data:`EXACT`, and what lies beyond its ten digits."""
+    beyond = c - exact_part(c).cast("double")
+    return F.when(exact_part(c).isNull(), c).when(beyond != 0, beyond)
+
+
+def rest_sum(c: Column) -> Column:
+    """Sum of inexact parts. Small ones are added as decimals of their own, so
+    only numbers too large for a decimal are added in the order they come."""
+    fine = F.when(F.abs(c) < 1, c * _FINE_UNITS).try_cast(_FINE)
+    small, large = F.sum(fine).cast("double") / _FINE_UNITS, F.sum(F.when(fine.isNull(), c))
+    return F.coalesce(small + large, small, large)
 
 
 def exact_sum(c: Column) -> Column:
-    """A sum that no order of addition can change, NULL over no numbers."""
-    exact, rest = F.sum(exact_part(c)).cast("double"), F.sum(inexact_part(c))
+    """A sum of numbers below 1e18 that no order of addition can change, to 25
+    fraction digits; larger numbers are added as doubles. NULL over no numbers."""
+    exact, rest = F.sum(exact_part(c)).cast("double"), rest_sum(inexact_part(c))
     return F.coalesce(exact + rest, exact, rest)
 
 
@@ -75,6 +87,18 @@ def normalize_types(df: DataFrame) -> DataFrame:
     return df.select(*[typed(f) for f in df.schema.fields])
 
 
+def decimal_text(c: Column) -> Column:
+    """A decimal with the digits that it has: no zeros at the end of a fraction,
+    and no point after a whole number."""
+    text = c.cast("string")
+    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+def source_text(c: Column, data_type: T.DataType) -> Column:
+    """Text of a source column for a text column of the item table."""
+    return decimal_text(c) if isinstance(data_type, T.DecimalType) else plain_text(c, data_type)
+
+
 def _double_text(c: Column) -> Column:
     """A double with all its digits; an exponent only from 1e16 and below 1e-4."""
     raw = c.cast("string")

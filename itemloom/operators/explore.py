@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.conditions import Condition, apply_conditions
 from .scale import number_within
 
 PAGE_SIZE = 200
 
-#: Offsets beyond this are found by position instead of a single-task top-k.
-DEEP_OFFSET = 100_000
-
 
 @dataclass(frozen=True)
 class Page:
@@ -32,11 +29,15 @@ def visible(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def page_rows(df: DataFrame, page: int, size: int, order: Sequence[str]) -> DataFrame:
-    """One page of a table in the given total order."""
-    keys = [F.col(f"`{c}`").asc_nulls_last() for c in order]
+    """One page of a table in the given order.
+
+    All other columns that can be ordered follow those of the order, so every
+    page is cut from the same total order: no row is on two pages or on none.
+    Rows are found by position, at the first page as at the last.
+    """
+    rest = [f.name for f in df.schema.fields if f.name not in order and not isinstance(f.dataType, T.MapType)]
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in [*order, *rest]]
     offset = (max(page, 1) - 1) * size
-    if offset + size <= DEEP_OFFSET:
-        return df.orderBy(*keys).offset(offset).limit(size)
     numbered = number_within(df, [], keys, "__number", name="page")
     return numbered.where(F.col("__number").between(offset + 1, offset + size)).drop("__number").orderBy(*keys)
 

@@ -16,7 +16,7 @@ from ..functions.codes import numeric_sort_value, valid_cest, valid_gtin, valid_
 from ..functions.text import normalize_description, normalize_unit, strip
 from ..functions.values import exact_part, inexact_part
 from ..sources.schemas import AUDITED_COLUMNS, PRODUCT_KEYS
-from .scale import hot_key_join, is_small, number_within
+from .scale import hot_key_join, number_within
 
 #: Grouping of :func:`variants` and of :func:`profiles`.
 VARIANT_KEYS = ["cnpj", "fonte", *PRODUCT_KEYS, "unid"]
@@ -102,9 +102,9 @@ def classify(
 ) -> DataFrame:
     """Add the inferred goods class: by CEST and NCM, else CEST, else NCM.
 
-    An absent reference table is skipped. Small tables are broadcast. With a
-    larger one, the distinct pairs of codes are classified and joined back, so
-    no frequent or missing code can fill one task.
+    An absent reference table is skipped. The distinct pairs of codes are
+    classified and joined back, whatever the size of the tables, so no frequent
+    or missing code can fill one task.
     """
     both = {"cest_limpo": "it_nu_cest", "ncm_limpo": "it_nu_ncm"}
     given = [
@@ -120,8 +120,6 @@ def classify(
         return items.withColumn("co_sefin_inferido", F.lit(None).cast("string"))
 
     tiers = [(list(keys), reference_table(table, keys, value, duplicates)) for table, keys, value in given]
-    if all(is_small(table) for table, _, _ in given):
-        return _first_tier(items, [(keys, F.broadcast(table)) for keys, table in tiers])
     pairs = items.groupBy("cest_limpo", "ncm_limpo").agg(F.count(F.lit(1)).alias("__n"))
     return hot_key_join(
         items, _first_tier(pairs, tiers), ["cest_limpo", "ncm_limpo"], ["co_sefin_inferido"], "__n"

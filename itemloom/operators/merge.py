@@ -24,7 +24,7 @@ EXTRA_LISTS = ["lista_fontes", "lista_chaves_produto"]
 EXTRA_MODES = ["co_sefin_inferido"]
 
 CODE_RULE = "Maior frequência em lista_codigos; em empate, menor código em ordem alfanumérica."
-LOG_LINES = 200
+
 
 
 @dataclass(frozen=True)
@@ -186,12 +186,18 @@ def merged_rows(rows: DataFrame, assignments: DataFrame, schema_of: DataFrame, s
     return valid.select("merge_id", *columns)
 
 
+def _only(c: Column) -> Column:
+    """The one value of a group; an error where there are two."""
+    message = F.concat(F.lit("Dois textos para uma junção: "), F.min(c), F.lit(" / "), F.max(c))
+    return F.when(F.min(c) < F.max(c), F.raise_error(message).cast("string")).otherwise(F.min(c))
+
+
 def _given_texts(assignments: DataFrame) -> DataFrame:
     """Descriptions a user gave for a merge, if the assignments have them."""
     optional = {"given": "descricao_resultante", "given_norm": "descricao_normalizada_resultante"}
     return assignments.groupBy("cnpj", _merge_id()).agg(
         *[
-            F.min(f"`{c}`" if c in assignments.columns else F.lit(None).cast("string")).alias(name)
+            _only(F.col(f"`{c}`") if c in assignments.columns else F.lit(None).cast("string")).alias(name)
             for name, c in optional.items()
         ]
     )
@@ -241,7 +247,7 @@ def _log(rows: DataFrame, merged: DataFrame, target: str, at: Column | None) ->
     )
 
 
-def log_tail(log: DataFrame, limit: int = LOG_LINES) -> DataFrame:
+def log_tail(log: DataFrame, limit: int) -> DataFrame:
     """The last entries of the log, oldest first."""
     last = log.orderBy(F.desc("timestamp"), F.desc("seq")).limit(limit)
     return last.orderBy("timestamp", "seq")

@@ -14,7 +14,6 @@ from ..functions.values import display_cell
 from .explore import visible
 
 #: Rows of the short report.
-SHORT_REPORT_ROWS = 500
 
 
 def export_view(
@@ -100,7 +99,7 @@ def html_report(
     return lines.orderBy("section", *[F.col(k).asc_nulls_last() for k in keys], "value").select("value")
 
 
-def short_report(df: DataFrame, order: Sequence[str], rows: int = SHORT_REPORT_ROWS) -> DataFrame:
+def short_report(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
     """Cells of the first rows, each with the number of all rows, and whether
     the report leaves some out."""
     total = df.agg(F.count(F.lit(1))).scalar()

@@ -14,14 +14,6 @@ from ..sources.writer import stage
 #: most this many hot keys, which bounds what a hot-key join broadcasts.
 HOT_KEY_LIMIT = 1000
 
-#: Rows up to which a reference table is broadcast.
-BROADCAST_ROWS = 500_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table may be broadcast: it has no more than ``max_rows``."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     """Null-safe equality of keys with their prefixed copies on the right."""

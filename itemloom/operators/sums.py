@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize_description
+from ..functions.values import rest_sum
 from .groups import GROUP
 
 # Operation words, tested in this order, and their column names.
@@ -21,7 +22,7 @@ _PARTS = ["qtd_exata", "qtd_resto", "valor_exato", "valor_resto"]
 
 def _total(exact: str, rest: str) -> Column:
     zero = F.lit(0.0)
-    return F.coalesce(F.sum(exact).cast("double"), zero) + F.coalesce(F.sum(rest), zero)
+    return F.coalesce(F.sum(exact).cast("double"), zero) + F.coalesce(rest_sum(F.col(rest)), zero)
 
 
 def annual_sums(profiles: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def annual_sums(profiles: DataFrame) -> DataFrame:
     by_text = (
         profiles.where(F.col("ano").isNotNull())
         .groupBy("cnpj", "descricao", "ano", "tipo_operacao")
-        .agg(*[F.sum(c).alias(c) for c in _PARTS])
+        .agg(*[(rest_sum(F.col(c)) if c.endswith("_resto") else F.sum(c)).alias(c) for c in _PARTS])
     )
     described = by_text.withColumn("descricao_normalizada", normalize_description(F.col("descricao")))
     dated = described.where(F.col("descricao_normalizada").isNotNull())

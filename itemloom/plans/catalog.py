@@ -15,6 +15,7 @@ from ..functions.codes import (
 )
 from ..functions.conditions import CONTAINS, ENDS, EQUALS, IS_NULL, NOT_NULL, STARTS, Condition, apply_conditions
 from ..functions.conditions import with_quick_filters
+from ..functions.values import exact_sum
 from ..functions.text import APP, PIPELINE, natural_sorted, normalize_description, normalize_unit, word_count
 from ..operators import extract, merge
 from ..operators.explore import explore
@@ -137,6 +138,36 @@ def canonical(spark, sf_dir):
     return shown(items(spark, sf_dir))
 
 
+@registered
+def decimal_layouts(spark, sf_dir):
+    """All five layouts with their codes and numbers as a database delivers them."""
+    part = s.table(spark, sf_dir, "part")
+    number = lambda c, kind: F.col(c).cast(kind) if isinstance(c, str) else c.cast(kind)
+    barcode = F.col("p_partkey").cast("decimal(38,0)") + F.lit(7890000000000).cast("decimal(38,0)")
+    numbers = part.select(
+        number(F.pmod("p_partkey", F.lit(3)), "decimal(38,10)").alias("cnpj"),
+        F.col("p_name").alias("texto"),
+        number("p_partkey", "decimal(38,10)").alias("chave"),
+        number("p_partkey", "decimal(38,0)").alias("chave0"),
+        number("p_partkey", "decimal(20,0)").alias("chave20"),
+        number(barcode, "decimal(38,10)").alias("barras"),
+        number(F.col("p_size") * 1234567, "decimal(38,10)").alias("ncm_num"),
+        number(F.pmod("p_partkey", F.lit(2)), "decimal(38,10)").alias("sentido"),
+        (number("p_size", "decimal(38,10)") / 8).cast("decimal(38,10)").alias("quantia"),
+        number("p_retailprice", "decimal(38,10)").alias("preco"),
+    )
+    sales = dict(prod_cprod="chave", prod_xprod="texto", prod_ncm="ncm_num", prod_cean="barras", tipo_operacao="sentido", prod_qcom="quantia", prod_vprod="preco")
+    named = {
+        "nfe": sales,
+        "nfce": sales | {"prod_cprod": "chave0"},
+        "c170": dict(cod_item="chave20", descr_item="texto", cod_ncm="ncm_num", cod_barra="barras", ind_oper="sentido", qtd="quantia", vl_item="preco"),
+        "bloco_h": dict(codigo_produto="quantia", descricao_produto="texto", cod_ncm="ncm_num", cod_barra="barras", quantidade="chave", valor_item="preco"),
+        "fronteira": dict(cod_item="chave", desc_item="texto", ncm="ncm_num", tipo_operacao="sentido", qtd_comercial="quantia", valor_produto="preco"),
+    }
+    sources = {name: numbers.select("cnpj", *[F.col(c).alias(n) for n, c in columns.items()]) for name, columns in named.items()}
+    return clean_items(canonical_items(sources)).select("cnpj", "fonte", "codigo", "ncm_limpo", "gtin_limpo", "tipo_operacao", "qtd", "valor")
+
+
 @registered
 def normalize_text(spark, sf_dir):
     text = F.col("text")
@@ -258,6 +289,19 @@ def annual_sums_long(spark, sf_dir):
     return job(spark, sf_dir, reuse=False).sums
 
 
+def unit_of(size):
+    return F.element_at(F.array(*[F.lit(x) for x in (1e-15, 1e-12, 1e-9, 1e-3, 1.0, 1e20)]), size.cast("int") + 1)
+
+
+@registered
+def small_amounts(spark, sf_dir):
+    """Sums of amounts from 1e-15 up to 1e20."""
+    size = F.pmod(F.col("l_orderkey"), F.lit(6))
+    amounts = s.table(spark, sf_dir, "lineitem").select("l_suppkey", size.alias("tamanho"), (F.col("l_linenumber") * unit_of(size)).alias("valor"))
+    total = exact_sum(F.col("valor")) / F.min(unit_of(F.col("tamanho")))
+    return amounts.groupBy("l_suppkey", "tamanho").agg(F.round(total, 3).alias("total"))
+
+
 @registered
 def annual_sums_pivot(spark, sf_dir):
     return job(spark, sf_dir).pivot
@@ -286,6 +330,24 @@ def filter_numeric(spark, sf_dir):
     return apply_conditions(df, [Condition("l_discount", ">", "0,05"), Condition("l_quantity", "<=", "25")])
 
 
+@registered
+def filter_integers(spark, sf_dir):
+    df = s.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("decimal(12,2)").alias("q"))
+    found = apply_conditions(
+        df, [Condition("l_orderkey", ">", "100,5"), Condition("l_linenumber", "<", "5.2"), Condition("q", ">=", "24.999")]
+    )
+    return found.select("l_orderkey", "l_linenumber", F.col("q").cast("double").alias("q"))
+
+
+@registered
+def filter_dates(spark, sf_dir):
+    df = s.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("d"), F.col("l_shipdate").cast("timestamp_ntz").alias("t")
+    )
+    found = apply_conditions(df, [Condition("d", ">", "9000"), Condition("d", "<=", "9500,5"), Condition("t", ">=", "7.9e14")])
+    return shown(found.select("l_orderkey", "l_linenumber", "d"))
+
+
 @registered
 def filter_number_as_text(spark, sf_dir):
     df = s.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -322,6 +384,15 @@ def page(spark, sf_dir):
     return view.rows.withColumn("total", F.lit(view.total).cast("bigint"))
 
 
+@registered
+def page_ties(spark, sf_dir):
+    """All pages of an order with many ties, together: the whole table."""
+    part = s.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    size = -(-part.count() // 3)
+    pages = [explore(part, page=k, size=size, order=["p_size"]).rows for k in (1, 2, 3)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 @registered
 def report_rows(spark, sf_dir):
     index = job(spark, sf_dir, reuse=False).product_index()
@@ -340,7 +411,7 @@ def html_report_lines(spark, sf_dir):
 def report_first_rows(spark, sf_dir):
     columns = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
     df = s.table(spark, sf_dir, "orders").select(*columns)
-    return short_report(df, ["o_orderkey"]).withColumn("truncado", F.col("truncado").cast("string"))
+    return short_report(df, ["o_orderkey"], rows=500).withColumn("truncado", F.col("truncado").cast("string"))
 
 
 @registered
@@ -381,8 +452,7 @@ def merge_groups_strict(spark, sf_dir):
 @registered
 def merge_table_update(spark, sf_dir):
     table = job(spark, sf_dir).final_products()
-    chosen = s.assignments(table).where(F.col("merge_id").isin("BOLT", "ANVIL"))
-    updated = merge.merge_groups(table, chosen).updated
+    updated = merge.merge_groups(table, s.assignments(table)).updated
     return updated.select(
         "cnpj", F.col("descrição_normalizada").alias("descricao_normalizada"), "descricao", "codigo_padrao",
         "qtd_codigos",
@@ -407,7 +477,7 @@ def audit_log_tail(spark, sf_dir):
     log = s.table(spark, sf_dir, "events").select(
         F.col("ts").alias("timestamp"), F.col("event_id").alias("seq"), "user_id", "event_type"
     )
-    return shown(merge.log_tail(log))
+    return shown(merge.log_tail(log, limit=200))
 
 
 def _updates(spark, sf_dir):

@@ -13,7 +13,7 @@ from ..operators.items import audited_items, classify, clean_items, product_inde
 from ..operators.sums import annual_pivot, annual_sums, year_columns
 from ..sources.layouts import canonical_items
 from ..sources.schemas import PRODUCT_KEYS
-from ..sources.writer import CLUSTERED, save_table, stage
+from ..sources.writer import CLUSTERED, save_table, stage, staged_tables
 
 
 @dataclass(frozen=True)
@@ -126,6 +126,7 @@ def run_all(
     """Consolidate the given extracts and write the seven tables under ``out``.
 
     All seven are written, with their schemas, even when there are no items.
+    Tables that were staged on the way are deleted at the end.
     """
     job = Consolidation(canonical_items(sources, spark), references, reuse=True)
     results = {
@@ -138,7 +139,8 @@ def run_all(
         "tabela_itens_auditados": job.audited_items,
     }
     written = {}
-    for name, keys in TABLES.items():
-        path = f"{out}/{name}"
-        written[name] = Written(path, save_table(results[name](), path, keys, layout))
+    with staged_tables(spark):
+        for name, keys in TABLES.items():
+            path = f"{out}/{name}"
+            written[name] = Written(path, save_table(results[name](), path, keys, layout))
     return written

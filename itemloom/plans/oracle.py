@@ -528,9 +528,8 @@ where contains(lower(dn), 'red') and contains(coalesce(n.v, ''), '1') and qtd_co
             [*_TO_GROUPS, *_merge_ctes()],
             f"""select cnpj, "descrição_normalizada" as descricao_normalizada, descricao, codigo_padrao, qtd_codigos
 from ({_group_table("r.codigo_final", "lista_codigos_final")}) where (cnpj, {_last_word('"descrição_normalizada"')})
-  not in (select cnpj, merge_id from big where merge_id in ('BOLT', 'ANVIL'))
-union all select cnpj, "descrição_normalizada", descricao, codigo_padrao, qtd_codigos from ({_merged()})
-  where merge_id in ('BOLT', 'ANVIL')""",
+  not in (select cnpj, merge_id from big)
+union all select cnpj, "descrição_normalizada", descricao, codigo_padrao, qtd_codigos from ({_merged()})""",
         ),
         "merge_log": _with(
             [*_TO_GROUPS, *_merge_ctes()],
@@ -539,6 +538,27 @@ union all select cnpj, "descrição_normalizada", descricao, codigo_padrao, qtd_
 from big b join reps r on r.cnpj = b.cnpj and {_last_word("r.dn")} = b.merge_id
   join mrep m on m.cnpj = b.cnpj and m.merge_id = b.merge_id group by b.cnpj, b.merge_id""",
         ),
+        "filter_integers": "select l_orderkey, l_linenumber, cast(cast(l_quantity as decimal(12, 2)) as double) as q"
+        " from lineitem where l_orderkey > 100.5 and l_linenumber < 5.2 and l_quantity >= 24.999",
+        "filter_dates": "select l_orderkey, l_linenumber, cast(cast(l_shipdate as date) as varchar) as d from lineitem"
+        " where cast(l_shipdate as date) - date '1970-01-01' > 9000"
+        " and cast(l_shipdate as date) - date '1970-01-01' <= 9500.5"
+        " and epoch_us(cast(l_shipdate as timestamp)) >= 7.9e14",
+        "page_ties": "select p_partkey, p_size, p_brand from part",
+        "small_amounts": """select l_suppkey, cast(l_orderkey % 6 as bigint) as tamanho,
+  cast(sum(l_linenumber) as double) as total from lineitem group by all""",
+        "decimal_layouts": f"""with typed as (select p_partkey, p_size, p_retailprice, cast(p_partkey % 3 as varchar) as cnpj,
+    cast(p_partkey as varchar) as chave, cast(p_partkey + 7890000000000 as varchar) as barras,
+    cast(p_size * 1234567 as varchar) as ncm, p_partkey % 2 as sentido, p_size / 8 as quantia from part),
+  rows as (select cnpj, unnest(['nfe', 'nfce', 'c170', 'bloco_h', 'fronteira']) as fonte, * exclude (cnpj) from typed)
+select cnpj, fonte, case fonte when 'bloco_h' then cast(cast(floor(quantia) as bigint) as varchar) ||
+    case when quantia % 1 = 0 then '' else rtrim('.' || lpad(cast(cast((quantia % 1) * 1000 as integer) as varchar), 3, '0'), '0') end
+    else chave end as codigo, {_length("ncm", 8)} as ncm_limpo,
+  case when fonte <> 'fronteira' then {_gtin("barras")} end as gtin_limpo,
+  case fonte when 'c170' then case sentido when 1 then '{OUTBOUND}' else '{INBOUND}' end when 'bloco_h' then '{INVENTORY}'
+    else cast(sentido as varchar) end as tipo_operacao,
+  case fonte when 'bloco_h' then cast(p_partkey as double) else cast(quantia as double) end as qtd,
+  cast(p_retailprice as double) as valor from rows""",
         "audit_log_tail": "select cast(ts as varchar) as timestamp, event_id as seq, user_id, event_type"
         " from events order by ts desc, event_id desc limit 200",
         "registry": """select cnpj, cast(min(added_at) as varchar) as added_at,

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import strip
-from ..functions.values import lenient_double, lenient_timestamp, normalize_types
+from ..functions.values import lenient_double, lenient_timestamp, source_text
 from .schemas import ITEMS, ITEM_TEXTS, empty
 
 INBOUND = "0 - ENTRADA"
@@ -92,14 +92,17 @@ def _operation(layout: str, c: Column) -> Column:
 
 
 def canonical(df: DataFrame, layout: str) -> DataFrame:
-    """One source in its own layout as item rows."""
-    df = normalize_types(df)
+    """One source in its own layout as item rows.
+
+    A decimal column, as a database delivers numbers, becomes text with the
+    digits that it has; it does not pass through a double.
+    """
     candidates = LAYOUTS[layout]
 
     def column(target: T.StructField) -> Column:
         name = target.name
         if name == "cnpj":
-            return F.col("cnpj").cast("string").alias(name)
+            return source_text(F.col("cnpj"), df.schema["cnpj"].dataType).alias(name)
         if name == "fonte":
             return F.lit(layout).alias(name)
         field = first_existing(df, candidates.get(name, []))
@@ -109,7 +112,7 @@ def canonical(df: DataFrame, layout: str) -> DataFrame:
             return lenient_double(source, source_type).alias(name)
         if name == "data_mov":
             return lenient_timestamp(source).alias(name)
-        text = source.cast("string")
+        text = source_text(source, source_type).cast("string")
         if name == "tipo_operacao":
             text = _operation(layout, text)
         return strip(text).alias(name)

@@ -49,12 +49,15 @@ def database_table(
     url: str,
     table: str,
     partition_column: str,
-    lower: int,
-    upper: int,
+    lower: int | str,
+    upper: int | str,
     partitions: int,
     properties: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """A database table read in parallel ranges of a numeric or date column."""
+    """A database table read in parallel ranges of a numeric or date column.
+
+    Bounds of a date column are given as text, ``YYYY-MM-DD``.
+    """
     return spark.read.jdbc(
         url,
         table,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -15,6 +18,9 @@ CLUSTERED = "clustered"
 TAXPAYER = "taxpayer"
 
 
+_staged = threading.local()
+
+
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="itemloom-")
@@ -24,16 +30,29 @@ def staging_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
     Only a session whose executors are threads of this machine may go without
-    one; it then gets a local temporary folder.
+    one; a temporary folder is then set for it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
     return _local_folder()
 
 
+@contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables that are staged inside."""
+    before, _staged.paths = getattr(_staged, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _staged.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _staged.paths = before
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table and read it back.
 
@@ -42,6 +61,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/itemloom/{name}-{uuid.uuid4().hex}"
+    if getattr(_staged, "paths", None) is not None:
+        _staged.paths.append(path)
     df.write.parquet(path, compression="snappy")
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,8 +103,16 @@ def append_log(log: DataFrame, path: str) -> None:
 
 
 def save_version(df: DataFrame, base: str, version: int) -> None:
-    """Write one version of a table. It counts once its data is complete."""
-    df.write.mode("overwrite").parquet(version_path(base, version), compression="snappy")
+    """Write one version of a table. It counts once its data is complete.
+
+    A version is written once: of two sessions that read the same version, the
+    second finds the next one there and fails before it has changed anything.
+    """
+    spark = df.sparkSession
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/claims/{version:06d}")
+    if not claim.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(claim):
+        raise FileExistsError(f"Version {version} of {base} was written by another session.")
+    df.write.mode("errorifexists").parquet(version_path(base, version), compression="snappy")
     written = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
     written.write.mode("append").parquet(f"{base}/versions")
 

@@ -114,7 +114,7 @@ def test_taxpayer_id(spark, value, expected):
 
 @pytest.mark.parametrize("value", [None, "", "abc"])
 def test_taxpayer_id_invalid(spark, value):
-    with pytest.raises(ValueError, match="Informe um CNPJ válido."):
+    with pytest.raises(ValueError, match="taxpayer id"):
         codes.clean_taxpayer_id(value)
     assert apply(spark, codes.taxpayer_id, [value]) == [None]
 
@@ -144,6 +144,22 @@ def test_exact_sum_in_any_order(spark):
     assert df.limit(0).agg(values.exact_sum(F.col("x"))).first()[0] is None
 
 
+def test_sums_keep_small_digits(spark):
+    df = spark.range(1000).select((F.lit(1e-11) + 0 * F.col("id")).alias("x"))
+    assert abs(df.agg(values.exact_sum(F.col("x"))).first()[0] - 1e-8) < 1e-20
+
+
+def test_decimal_text(spark):
+    rows = spark.sql("select cast(x as decimal(38,10)) d, cast(x as decimal(38,0)) w from values ('7891234567895'), ('100'), ('0'), ('-1.50'), (null) t(x)")
+    got = [tuple(r) for r in rows.select(values.decimal_text(F.col("d")), values.decimal_text(F.col("w"))).collect()]
+    assert got == [("7891234567895", "7891234567895"), ("100", "100"), ("0", "0"), ("-1.5", "-2"), (None, None)]
+
+
+def test_counts_of_any_length_keep_their_weight(spark):
+    got = apply(spark, codes.parse_code_entry, ["[A; 99999999999999999999]", "[B; " + "9" * 50 + "]"])
+    assert [int(r.n) for r in got] == [99999999999999999999, int("9" * 30)]
+
+
 def test_normalize_types(spark):
     df = spark.sql("select cast(5 as decimal(10,0)) a, cast(1.5 as decimal(10,2)) b, cast(1 as decimal(30,0)) c, 'x' d")
     assert [f.dataType.simpleString() for f in values.normalize_types(df).schema] == ["bigint", "double", "double", "string"]

@@ -87,8 +87,3 @@ def test_stage_uses_the_named_folder(spark):
     staged = stage(spark.range(5), "t")
     assert staged.inputFiles()[0].removeprefix("file://").startswith(folder)
     assert staged.count() == 5
-
-
-def test_is_small(spark):
-    assert scale.is_small(spark.range(10), 10)
-    assert not scale.is_small(spark.range(11), 10)
