@@ -15,6 +15,7 @@ from ..functions.text import APP, natural_key, normalize_description, strip, wor
 from ..functions.values import exact_sum
 from ..sources.writer import append_log, editable_table, save_version
 
+# Names of columns of the result table, and the rule that the log names.
 NORMALIZED = "descrição_normalizada"
 MERGE = ["cnpj", "merge_id"]
 LISTS = ["lista_tipo_item", "lista_ncm", "lista_cest", "lista_gtin", "lista_unid", "lista_descricoes"]
@@ -26,7 +27,6 @@ EXTRA_MODES = ["co_sefin_inferido"]
 CODE_RULE = "Maior frequência em lista_codigos; em empate, menor código em ordem alfanumérica."
 
 
-
 @dataclass(frozen=True)
 class MergeResult:
     updated: DataFrame

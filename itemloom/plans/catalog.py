@@ -5,6 +5,7 @@ List columns are shown as text, so results compare value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -24,8 +25,9 @@ from ..operators.items import clean_items, identified
 from ..operators.registry import known_taxpayers, registry_upsert
 from ..operators.report import display_cells, export_view, html_report, html_rows, short_report
 from ..sources.layouts import canonical_items
-from ..sources.reader import catalogue, extract_all, extract_counts
+from ..sources.reader import catalogue, extract_all, extract_counts, load_dataset, load_if_exists, query
 from ..sources.schemas import PRODUCT_KEYS
+from ..sources.writer import append_log, editable_table, save_dataset, save_version, staging_dir
 from . import standins as s
 from .consolidation import Consolidation
 
@@ -108,6 +110,57 @@ def border_tax(spark, sf_dir):
     return extract.border_tax(s.documents(spark, sf_dir), s.calculations(spark, sf_dir), s.CUTOFF)
 
 
+@registered
+def restricted_documents(spark, sf_dir):
+    """Documents of listed taxpayers, and of those in a table: the same rows."""
+    wanted = s.documents(spark, sf_dir).agg(F.min("co_emitente").alias("cnpj")).unionByName(
+        s.documents(spark, sf_dir).agg(F.max("co_destinatario").alias("cnpj"))
+    )
+    listed = sorted({row[0] for row in wanted.collect()})
+    parts = [
+        extract.sales_documents(s.documents(spark, sf_dir), t).select(F.lit(name).alias("forma"), "cnpj", "tipo_operacao", "chave_acesso", "seq_nitem")
+        for name, t in (("lista", listed), ("tabela", wanted.distinct()))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@registered
+def restricted_filings(spark, sf_dir):
+    """Filings of one taxpayer up to today."""
+    wanted = s.filings(spark, sf_dir).agg(F.min("cnpj").alias("cnpj"))
+    return shown(extract.latest_filings(s.filings(spark, sf_dir), None, wanted))
+
+
+@registered
+def named_parameters(spark, sf_dir):
+    text = f"""SELECT o_orderkey, o_custkey, o_orderstatus FROM parquet.`{sf_dir}/orders.parquet`
+        WHERE o_orderkey >= :first AND o_custkey = coalesce(:customer, o_custkey) AND o_orderstatus = :STATUS;"""
+    found = query(spark, text, ["first", "customer", "STATUS"], {"FIRST": 1000, "status": "F"})
+    return extract_all({"orders": lambda: found})["orders"]
+
+
+@registered
+def saved_and_loaded(spark, sf_dir):
+    """A table through save, optional load and a filtered load of two columns."""
+    folder = f"{staging_dir(spark)}/itemloom/saved-{uuid.uuid4().hex}"
+    save_dataset(s.table(spark, sf_dir, "part").withColumn("cnpj", F.lit("00000000000007")), folder)
+    if load_if_exists(spark, f"{folder}-none") is not None:
+        raise AssertionError("a table that is not there was loaded")
+    return load_dataset(spark, folder, [Condition("p_size", ">", "10")], ["cnpj", "p_partkey"])
+
+
+@registered
+def logged_versions(spark, sf_dir):
+    """Two versions of an editable table and the log that grew with them."""
+    folder = f"{staging_dir(spark)}/itemloom/versions-{uuid.uuid4().hex}"
+    save_dataset(s.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), f"{folder}/source")
+    version, table = editable_table(spark, f"{folder}/source", f"{folder}/copy")
+    save_version(table.where("s_nationkey < 10"), f"{folder}/copy", version + 1)
+    for name, rows in (("antes", table), ("depois", editable_table(spark, f"{folder}/source", f"{folder}/copy")[1])):
+        append_log(rows.select("s_suppkey", F.lit(name).alias("versao")), f"{folder}/log")
+    return spark.read.schema("s_suppkey long, versao string").json(f"{folder}/log")
+
+
 @registered
 def extract_row_counts(spark, sf_dir):
     sources = s.sources(spark, sf_dir)

@@ -354,6 +354,21 @@ def statements() -> dict[str, str]:
             f"select cnpj, {_DIRECTION} as tipo_operacao, chave_acesso, seq_nitem, co_emitente, co_destinatario,"
             " prod_cprod from parties",
         ),
+        "restricted_documents": _with(
+            [_DOCUMENTS, _PARTIES],
+            f"""select forma, cnpj, {_DIRECTION} as tipo_operacao, chave_acesso, seq_nitem
+from parties, (select unnest(['lista', 'tabela']) as forma)
+where cnpj in (select min(co_emitente) from documents_ union select max(co_destinatario) from documents_)""",
+        ),
+        "restricted_filings": f"""with filings as (select {_selected(s.FILING)} from orders)
+select id as reg_0000_id, cnpj, cast(dt_ini as varchar) as dt_ini, cast(data_entrega as varchar) as data_entrega from (
+  select *, row_number() over (partition by cnpj, dt_ini order by data_entrega desc, id desc) as rn from filings
+  where cnpj = (select min(cnpj) from filings) and data_entrega <= current_date) where rn = 1""",
+        "named_parameters": "select o_orderkey, o_custkey, o_orderstatus, 'ORDERS' as fonte from orders"
+        " where o_orderkey >= 1000 and o_orderstatus = 'F'",
+        "saved_and_loaded": "select '00000000000007' as cnpj, p_partkey from part where p_size > 10",
+        "logged_versions": "select s_suppkey, 'antes' as versao from supplier"
+        " union all select s_suppkey, 'depois' from supplier where s_nationkey < 10",
         "latest_filing": _with(
             [_FILINGS],
             "select reg_0000_id, cnpj, cast(dt_ini as varchar) as dt_ini, cast(data_entrega as varchar)"

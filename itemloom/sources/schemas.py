@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+# The names and the order of all columns below are the format of the tables.
 ITEM_TEXTS = ["codigo", "descricao", "descr_compl", "tipo_item", "ncm", "cest", "gtin", "unid", "tipo_operacao"]
 
 ITEMS = T.StructType(

@@ -225,3 +225,27 @@ def test_registry(spark):
     assert got == [("1", t(1), t(2)), ("2", t(1), t(6)), ("3", t(7), t(8))]
     known = known_taxpayers(state, spark.createDataFrame([("9",), ("x",)], "cnpj string"))
     assert [r.cnpj for r in known.collect()] == ["1", "2", "9"]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from itemloom.sources.writer import editable_table, save_dataset, save_version
+
+    base = str(tmp_path / "copy")
+    save_dataset(spark.range(3), str(tmp_path / "source"))
+    first, table = editable_table(spark, str(tmp_path / "source"), base)
+    save_version(table.where("id < 2"), base, first + 1)
+    with pytest.raises(FileExistsError):
+        save_version(table.where("id < 1"), base, first + 1)
+    assert editable_table(spark, str(tmp_path / "source"), base)[1].count() == 2
+
+
+def test_staged_tables_are_deleted(spark):
+    import os
+
+    from itemloom.sources.writer import stage, staged_tables
+
+    with staged_tables(spark):
+        path = os.path.dirname(stage(spark.range(3), "gone").inputFiles()[0].removeprefix("file://"))
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+    assert os.path.isdir(os.path.dirname(stage(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")))

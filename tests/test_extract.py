@@ -85,7 +85,7 @@ def test_fiscal_items(spark):
         [(3, "I1", "bar", "ncm", "cest", "00", "d1")],
         "reg_0000_id bigint, cod_item string, cod_barra string, cod_ncm string, cest string, tipo_item string, descr_item string",
     )
-    rows = e.fiscal_items(filings(spark), c100, c170, r0200, "01/03/2024").collect()
+    rows = e.fiscal_items(filings(spark), c100, c170, r0200, "01/03/2024", ordered=True).collect()
     assert [(r.cnpj, r.num_doc, r.num_item, r.descr_item) for r in rows] == [
         ("B", "n1", 1, None), ("A", "n2", 1, None), ("A", "n2", 2, "d1"),
     ]
@@ -102,7 +102,7 @@ def test_inventory(spark):
     h020 = spark.createDataFrame([(1, 3, "00", None, 3.0)], "reg_h010_id bigint, reg_0000_id bigint, cst_icms string, bc_icms double, vl_icms double")
     r0200 = spark.createDataFrame([(3, "c", None, None, None, None, "desc")],
         "reg_0000_id bigint, cod_item string, cod_barra string, cod_ncm string, cest string, tipo_item string, descr_item string")
-    rows = e.inventory(filings(spark), h005, h010, h020, r0200, "01/03/2024").collect()
+    rows = e.inventory(filings(spark), h005, h010, h020, r0200, "01/03/2024", ordered=True).collect()
     assert [r.codigo_produto for r in rows] == ["b.2", "á-1", "c"]
     assert [r.mot_inv_desc for r in rows] == ["01 - No final do período"] * 2 + ["99"]
     assert (rows[0].bc_icms, rows[0].vl_icms, rows[1].bc_icms) == (0, 3.0, None)
