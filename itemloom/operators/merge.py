@@ -257,10 +257,11 @@ def apply_merges(
     spark: SparkSession, source: str, versions: str, assignments: DataFrame, log: str, strict: bool = False
 ) -> MergeResult:
     """Merge in the editable copy of a result table: read its newest version,
-    write the next one, append to the log. The source table never changes."""
+    write the rows of the taxpayers with merges as the next one, append to the
+    log. The source table never changes."""
     version, table = editable_table(spark, source, versions)
     result = merge_groups(table, assignments, strict, target=versions)
-    save_version(result.updated, versions, version + 1)
+    save_version(result.updated, versions, version + 1, assignments.select("cnpj"))
     append_log(result.log, log)
     return result
 

@@ -102,25 +102,28 @@ def append_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").json(path, ignoreNullFields=False)
 
 
-def save_version(df: DataFrame, base: str, version: int) -> None:
+def save_version(df: DataFrame, base: str, version: int, taxpayers: DataFrame | None = None) -> None:
     """Write one version of a table. It counts once its data is complete.
 
-    A version is written once: of two sessions that read the same version, the
-    second finds the next one there and fails before it has changed anything.
+    With ``taxpayers`` (cnpj) only their rows are written; the rows of all others
+    stay where an earlier version has them. A version is written once: of two
+    sessions that read the same version, the second finds the next one claimed
+    and fails before it has changed anything.
     """
     spark = df.sparkSession
     claim = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/claims/{version:06d}")
     if not claim.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(claim):
         raise FileExistsError(f"Version {version} of {base} was written by another session.")
-    df.write.mode("errorifexists").parquet(version_path(base, version), compression="snappy")
-    written = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    if taxpayers is None:
+        changed = spark.range(1).select(F.lit(None).cast("string").alias("cnpj"))
+    else:
+        changed = taxpayers.select("cnpj").where("cnpj is not null").distinct()
+        df = df.join(changed, "cnpj", "left_semi")
+    df.write.mode("errorifexists").parquet(f"{base}/data/version={version}", compression="snappy")
+    written = changed.select(F.lit(version).alias("version"), "cnpj", F.current_timestamp().alias("at"))
     written.write.mode("append").parquet(f"{base}/versions")
 
 
-def version_path(base: str, version: int) -> str:
-    return f"{base}/v{version:06d}"
-
-
 def latest_version(spark: SparkSession, base: str) -> int | None:
     versions = load_if_exists(spark, f"{base}/versions")
     return None if versions is None else versions.agg(F.max("version")).first()[0]
@@ -130,13 +133,20 @@ def editable_table(spark: SparkSession, source: str, base: str) -> tuple[int, Da
     """The newest version of the editable copy of a table.
 
     The first use copies the source table as version 0; the source itself is
-    never changed.
+    never changed. Each taxpayer's rows come from the last version that has
+    them.
     """
-    version = latest_version(spark, base)
-    if version is None:
+    versions = load_if_exists(spark, f"{base}/versions")
+    if versions is None:
         table = load_if_exists(spark, source)
         if table is None:
             raise FileNotFoundError(f"Não há tabela de produtos em {source}.")
-        version = 0
-        save_version(table, base, version)
-    return version, load_table(spark, version_path(base, version))
+        save_version(table, base, 0)
+        versions = spark.read.parquet(f"{base}/versions")
+    last, whole = versions.agg(F.max("version"), F.max(F.when(F.col("cnpj").isNull(), F.col("version")))).first()
+    data = spark.read.option("mergeSchema", "true").parquet(f"{base}/data").where(F.col("version").between(whole, last))
+    if last == whole:
+        return last, data.drop("version")
+    newest = versions.where(F.col("cnpj").isNotNull() & (F.col("version") > whole)).groupBy("cnpj").agg(F.max("version").alias("__newest"))
+    rows = data.join(newest, "cnpj", "left").where(F.col("version") == F.coalesce("__newest", F.lit(whole)))
+    return last, rows.drop("version", "__newest").select("cnpj", *[c for c in data.columns if c not in ("cnpj", "version")])
