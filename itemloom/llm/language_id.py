@@ -141,7 +141,7 @@ class Parser:
                 phrases[:n] += step & 1
             total = np.bincount(row, weights=phrases, minlength=len(sizes))
             out[:, k] = total * self.bits[k] / np.maximum(sizes, 1)
-        return out, np.add.reduceat(np.append(keep, False), offsets[:-1]) * (np.diff(offsets) > 0) if len(sizes) else sizes
+        return out, np.diff(np.concatenate([[0], np.cumsum(keep)])[offsets])
 
 
 def learn(docs: DataFrame, folds: int = 5, held_out: int = 0) -> dict[str, str]:
