@@ -34,14 +34,10 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A text of which nothing is cut stays as it is; a document of which nothing
     is left goes.
     """
-    cut = remove_repeats(docs, width=13).where("n_removed > 0").select("doc_id", "key", "kept")
-    cut = cut.dropDuplicates(["doc_id", "key"]).hint("shuffle_hash")
-    keyed = docs.withColumn("key", F.hash("text"))
-    text = F.coalesce("kept", "text")
-    return (
-        keyed.join(cut, ["doc_id", "key"], "left")
-        .where("kept is null or kept <> ''")
-        .select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+    cut = remove_repeats(docs, width=13, carry=["text", "lang", "source"])
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return cut.where("n_removed = 0 or kept <> ''").select(
+        "doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -72,7 +72,7 @@ def _long_repeats(docs: DataFrame, width: int) -> DataFrame:
                 names=["a", "b", "doc_id", "key", "start", "end"],
             )
 
-    spans = stage(docs.mapInArrow(run, "a long, b long, doc_id long, key int, start int, end int"), "spans")
+    spans = stage(docs.select("doc_id", "key", "text").mapInArrow(run, "a long, b long, doc_id long, key int, start int, end int"), "spans")
     first = spans.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
         spans.join(first.select("a", "b", "first"), ["a", "b"])
@@ -139,7 +139,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "a long, b long, doc_id long, key int, at int")
 
 
-def _cut(docs: DataFrame, width: int) -> DataFrame:
+def _cut(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
             gone: dict[int, list[tuple[int, int]]] = {}
@@ -160,24 +160,25 @@ def _cut(docs: DataFrame, width: int) -> DataFrame:
                     words = [words[k] for k in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "key", "n_words", "n_removed", "kept"],
-            )
+            columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            columns += [part.column(c) for c in carry]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", *carry])
 
-    return docs.mapInArrow(run, "doc_id long, key int, n_words long, n_removed long, kept string")
+    types = dict(docs.dtypes)
+    carried = "".join(f", {c} {types[c]}" for c in carry)
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string" + carried)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, carry: Sequence[str] = ()) -> DataFrame:
     """Removes every word of a window of ``width`` words that also starts in a
     document with a smaller doc_id.
 
     ``docs`` has doc_id and text. Words are runs of characters other than ASCII
-    white space. Windows are judged on the input. Returns doc_id, key (hash of
-    the text, for rows that repeat a doc_id), n_words, n_removed and kept: the
-    words left, joined by one space. A missing text has no words; rows without
-    a doc_id are left out; a document of fewer words than a window is left as
-    it is.
+    white space. Windows are judged on the input. Returns doc_id, n_words,
+    n_removed, kept (the words left, joined by one space), and the columns of
+    ``docs`` named in ``carry``, as they are. A missing text has no words; rows
+    without a doc_id are left out; rows that repeat one are told apart by a hash
+    of their text; a document of fewer words than a window is left as it is.
 
     High-level recompression symbols certify the inside of long repeats. All
     other windows are found by a symbol that lies inside them: only those whose
@@ -186,7 +187,9 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     tables to them. What a hot passage adds up to in one place is one row per
     task in aggregations, and joins that adaptive execution can split.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.hash("text").alias("key"), "text")
+    carry = [c for c in carry if c != "doc_id"]
+    further = [c for c in carry if c != "text"]
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.hash("text").alias("key"), "text", *further)
     certified = stage(_long_repeats(docs, width), "certified")
     marked = docs.join(certified.hint("shuffle_hash"), "doc_id", "left")
     names = _names(marked, width)
@@ -201,4 +204,4 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("key", "at")).alias("repeated"))
     )
-    return _cut(marked.join(repeated.hint("shuffle_hash"), "doc_id", "left"), width)
+    return _cut(marked.join(repeated.hint("shuffle_hash"), "doc_id", "left"), width, carry)
