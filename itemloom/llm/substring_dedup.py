@@ -13,8 +13,8 @@ from ..sources.writer import stage
 from .recompression import Sequences, long_symbols, window_anchors
 from .words import SpanHash, signed, text_batches, word_spans
 
-#: Rounds for long repeats (symbols of about 70 words), and for the symbols inside one window.
-LONG_ROUNDS, WINDOW_ROUNDS = 15, 1
+#: Rounds for long repeats (symbols of about 30 words), and for the symbols inside one window.
+LONG_ROUNDS, WINDOW_ROUNDS = 12, 1
 
 
 @lru_cache(maxsize=1)
@@ -111,18 +111,19 @@ def _names(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "name long, doc_id long")
 
 
-def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """Windows whose name several documents have: a 128-bit hash of their words, and their place."""
+def _windows(docs: DataFrame, width: int, lists: Sequence[str]) -> DataFrame:
+    """Windows whose name is in one of the lists: a 128-bit hash of their words, and their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
             first, sequences, window, row, name = _open_windows(part, data, offsets, width)
             bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
             wanted = np.zeros(len(row), dtype=bool)
-            asked = part.column("asked")
+            asked = [part.column(c) for c in lists]
             for i in range(part.num_rows):
                 own = slice(bounds[i], bounds[i + 1])
-                wanted[own] = np.isin(name[own], asked[i].values.to_numpy().view(np.uint64))
+                names = np.concatenate([c[i].values.to_numpy() for c in asked])
+                wanted[own] = np.isin(name[own], names.view(np.uint64))
             window, row = window[wanted], row[wanted]
             own = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -193,11 +194,16 @@ def remove_repeats(docs: DataFrame, width: int = 13, carry: Sequence[str] = ())
     certified = stage(_long_repeats(docs, width), "certified")
     marked = docs.join(certified.hint("shuffle_hash"), "doc_id", "left")
     names = _names(marked, width)
-    shared = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    asked = names.join(shared.select("name").hint("shuffle_hash"), "name", "left_semi")
-    asked = asked.groupBy("doc_id").agg(F.collect_set("name").alias("asked"))
-    windows = _windows(marked.join(asked.hint("shuffle_hash"), "doc_id"), width)
-    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = names.groupBy("name").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    asked = names.join(shared.select("name", "first").hint("shuffle_hash"), "name")
+    # The smallest document of a name has nothing to remove by it; it only lends its windows.
+    later = F.col("first") < F.col("doc_id")
+    asked = asked.groupBy("doc_id").agg(
+        F.collect_set(F.when(later, F.col("name"))).alias("later"), F.collect_set(F.when(~later, F.col("name"))).alias("lent")
+    )
+    asking = marked.join(asked.hint("shuffle_hash"), "doc_id")
+    windows = _windows(asking.where(F.size("later") > 0), width, ["later"])
+    first = _windows(asking, width, ["later", "lent"]).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = (
         windows.join(first.select("a", "b", "first"), ["a", "b"])
         .where("first < doc_id")
