@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .folds import fold
 from .words import text_batches
 
-#: What a language is learned from: at most this many of its labelled texts,
-#: chosen by a hash of the text, and of them as many as give this many characters together.
+#: What a language is learned from: at most this many different labelled texts,
+#: chosen by a hash of the text, and a stretch of each, this many characters together.
 SAMPLE_TEXTS, SAMPLE_LETTERS = 200, 60_000
 #: Letters that one cross-parse covers. Longer texts are parsed in stretches of
 #: this length side by side; a phrase ends at the end of its stretch.
@@ -144,24 +144,43 @@ class Parser:
         return out, np.diff(np.concatenate([[0], np.cumsum(keep)])[offsets])
 
 
+def _share(sizes: list[int], total: int) -> int:
+    """The longest stretch that may be taken of each text so that all give at most ``total``."""
+    for k, size in enumerate(ordered := sorted(sizes)):
+        share = total // (len(ordered) - k)
+        if size > share:
+            return share
+        total -= size
+    return max(sizes)
+
+
 def learn(docs: DataFrame, folds: int = 5, held_out: int = 0) -> dict[str, str]:
     """A bounded sample of text for each language, from labelled texts outside the held-out fold.
 
-    The ids of the sample are chosen by a ranking that is cut in every task
-    before rows are shuffled; then only their texts are read.
+    Copies count once. Distinct texts are chosen by a ranking that is cut in
+    every task before rows are shuffled by language; then only of them a stretch
+    is read, from a place that the hash gives. The letters are dealt evenly: what
+    short texts leave goes to the longer ones, so no text makes the sample alone.
     """
     labelled = docs.where("doc_id is not null and lang is not null and text is not null").where(fold("doc_id", folds) != held_out)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = labelled.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.char_length("text").alias("n"))
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_TEXTS)
-    earlier = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chosen = ranked.withColumn("earlier", F.coalesce(earlier, F.lit(0))).where(F.col("earlier") < SAMPLE_LETTERS).select("doc_id", "lang", "h")
-    texts = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "h"])
-    rows = texts.select("lang", "h", "text").distinct().collect()
+    labelled = labelled.select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    distinct = labelled.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"), F.max(F.char_length("text")).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = distinct.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).drop("rank").collect()
+    sizes: dict[str, list[int]] = {}
+    for row in chosen:
+        sizes.setdefault(row["lang"], []).append(row["n"])
+    shares = {lang: _share(own, SAMPLE_LETTERS) for lang, own in sizes.items()}
+    wanted = docs.sparkSession.createDataFrame(
+        [(r["doc_id"], r["lang"], r["h"], shares[r["lang"]]) for r in chosen], "doc_id long, lang string, h long, share int"
+    )
+    texts = labelled.join(F.broadcast(wanted), ["doc_id", "lang", "h"])
+    start = F.pmod("h", F.greatest(F.char_length("text") - F.col("share"), F.lit(0)) + 1) + 1
+    rows = texts.select("lang", "h", F.substring("text", start.cast("int"), F.col("share")).alias("text")).distinct().collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(row["lang"], []).append(row["text"])
-    return {lang: " ".join(own)[:SAMPLE_LETTERS] for lang, own in samples.items()}
+    return {lang: " ".join(own) for lang, own in samples.items()}
 
 
 def languages(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:

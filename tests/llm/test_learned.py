@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from itemloom.llm import toxicity as tox
-from itemloom.llm.language_id import BLANK, STRANGE, Parser, languages, suffix_automaton
+from itemloom.llm.language_id import BLANK, SAMPLE_LETTERS, STRANGE, Parser, languages, learn, suffix_automaton
 from itemloom.llm.toxicity import DRIFT, maximal_segments, toxicity
 
 LARGER = "/root/testdata/sf0.01"
@@ -62,6 +62,17 @@ def test_languages_of_special_rows(table):
     assert languages(table([])).collect() == []
 
 
+def test_samples_are_made_of_many_texts(table):
+    copies = [(1000 * k + i, f"copied {k * 'y'}") for k in range(3) for i in range(150)]
+    long = [(10_000 + k, f"{chr(97 + k)} " * 100_000) for k in range(20)]
+    samples = learn(table(copies, "copies").union(table(long, "long")).union(table([(1, "short"), (6, "brief")], "short")))
+    assert sorted(samples["copies"].split()) == sorted(["copied"] * 3 + ["y", "yy"])
+    outside = {chr(97 + k) for k in range(20) if zlib.crc32(str(10_000 + k).encode()) % 5}
+    assert set(samples["long"].split()) == outside and len(outside) > 10
+    assert 0.99 * SAMPLE_LETTERS < len(samples["long"]) < 1.01 * SAMPLE_LETTERS
+    assert set(samples["short"].split()) <= {"short", "brief"}
+
+
 def brute_segments(scores):
     """By definition: the best segment, then the same to its left and right."""
     def best(a, b):
