@@ -115,7 +115,8 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray) -> list[tuple[int,
 
 
 def _segments(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
-    """Adds n_tokens and segments (first, last, score), before calibration."""
+    """Adds n_tokens, segments (first, last, score) over all places of the features, before
+    calibration, and new: the scores of the segments over their first places alone."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES features
 
@@ -132,41 +133,43 @@ def _segments(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
                 known = model.features[at] == f[some] if len(some) else np.zeros(0, dtype=bool)
                 score[some[known]], which[some[known]] = model.scores[at[known]], at[known]
             hits = np.flatnonzero(score > 0)
-            # A feature counts where a text has it first, as it was counted in learning.
+            # Passages are searched over all places of a feature. Only the evidence of a
+            # document counts it once, where the text has it first, as it was in learning.
             rows = np.searchsorted(first, hits, side="right") - 1
-            hits = hits[np.sort(np.unique(rows * (len(model.features) + 1) + which[hits], return_index=True)[1])]
-            bounds = np.searchsorted(hits, first)
-            found = [
-                [
-                    {"first": a, "last": b, "score": s}
-                    for a, b, s in maximal_segments(hits[lo:hi] - first[i], score[hits[lo:hi]])
+            once = hits[np.sort(np.unique(rows * (len(model.features) + 1) + which[hits], return_index=True)[1])]
+
+            def searched(hits: np.ndarray) -> list[list[tuple[int, int, float]]]:
+                bounds = np.searchsorted(hits, first)
+                return [
+                    maximal_segments(hits[lo:hi] - first[i], score[hits[lo:hi]]) if hi > lo else []
+                    for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]))
                 ]
-                if hi > lo
-                else []
-                for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]))
-            ]
+
+            found = [[{"first": a, "last": b, "score": s} for a, b, s in own] for own in searched(hits)]
+            new = [[s for _, _, s in own] for own in searched(once)]
             columns = [part.column(c) for c in extra]
-            columns += [pa.array(np.diff(first)), pa.array(found, pa.list_(segment))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*extra, "n_tokens", "segments"])
+            columns += [pa.array(np.diff(first)), pa.array(found, pa.list_(segment)), pa.array(new, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*extra, "n_tokens", "segments", "new"])
 
     segment = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])
     types = dict(docs.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in extra)
     return docs.select("text", *extra).mapInArrow(
-        run, f"{schema}, n_tokens long, segments array<struct<first: long, last: long, score: double>>"
+        run, f"{schema}, n_tokens long, segments array<struct<first: long, last: long, score: double>>, new array<double>"
     )
 
 
 def _with_evidence(segments: DataFrame, model: Model) -> DataFrame:
-    """Adds to each segment its expected number in a clean text of this length;
-    evidence is minus the log of it, summed over the segments where it is below 1."""
-    expected = lambda s: F.lit(model.scale) * F.greatest("n_tokens", F.lit(1)) * F.exp(-F.lit(model.decay) * s["score"])
+    """Adds to each segment its expected number in a clean text of this length, and
+    evidence: minus the log of it, summed over the segments of first places where it is below 1."""
+    chance = lambda score: F.lit(model.scale) * F.greatest("n_tokens", F.lit(1)) * F.exp(-F.lit(model.decay) * score)
+    expected = lambda s: chance(s["score"])
     marked = F.filter(
         F.transform("segments", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["score"].alias("score"), expected(s).alias("expected"))),
         lambda s: s["expected"] < 1,
     )
-    evidence = F.aggregate("segments", F.lit(0.0), lambda total, s: total - F.log(F.greatest(s["expected"], F.lit(1e-300))))
-    return segments.withColumn("segments", marked).withColumn("evidence", evidence)
+    evidence = F.aggregate("new", F.lit(0.0), lambda total, s: total - F.log(F.least(F.greatest(chance(s), F.lit(1e-300)), F.lit(1.0))))
+    return segments.withColumn("segments", marked).withColumn("evidence", evidence).drop("new")
 
 
 def _rising(bad: np.ndarray, all_: np.ndarray) -> np.ndarray:
@@ -215,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4) -
     # Scores of chance segments have an exponential tail above the smallest one:
     # its rate is the inverse of their mean, its scale follows from their number.
     least = float(model.scores.min())
-    total = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["score"] - least)
-    clean = rest.where("toxic = 0").agg(F.sum(F.size("segments")), F.sum(total), F.sum("n_tokens")).first()
+    total = F.aggregate("new", F.lit(0.0), lambda a, s: a + s - least)
+    clean = rest.where("toxic = 0").agg(F.sum(F.size("new")), F.sum(total), F.sum("n_tokens")).first()
     if clean[0]:
         model.decay = min(clean[0] / max(clean[1], 1e-9), 20.0)
         model.scale = clean[0] / max(clean[2], 1) * float(np.exp(min(model.decay * least, 300.0)))

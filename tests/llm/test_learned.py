@@ -134,3 +134,15 @@ def test_toxicity_of_special_rows(spark, table):
     assert {(r["score"], r["predicted"]) for r in toxicity(table(pairs), none).collect()} == {(0.0, 0)}
     assert toxicity(table([]), marks).collect() == []
     assert tox.MAX_FEATURES > 0
+
+
+def test_toxic_passages_are_all_found(spark, table):
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}q" for i in range(20) for j in range(20)]
+    filler = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pairs = [(i, filler(20) + (" slurword " if i % 4 == 0 else " ") + filler(20)) for i in range(600)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    pairs += [(1000, "slurword " + filler(60) + " slurword " + filler(60) + " slurword"), (1001, filler(120))]
+    by = {r["doc_id"]: r for r in toxicity(table(pairs), marks).collect()}
+    assert [(s["first"], s["last"]) for s in by[1000]["segments"]] == [(0, 0), (61, 61), (122, 122)]
+    assert by[1001]["segments"] == [] and all(by[i]["predicted"] == int(i % 4 == 0) for i in range(600))
