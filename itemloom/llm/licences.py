@@ -51,23 +51,57 @@ RULES = (
     ("Proprietary", ("rights",)),
 )
 
+#: Sentences and rules that the SQL does not have: how the official
+#: texts go on or are cut where SENTENCES has a part of them, or the parts as one.
+_GRANT, _AS_IS = (next(text for text, name, _ in SENTENCES if name == n) for n in ("mit-grant", "mit-as-is"))
+_FREE = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+OFFICIAL_SENTENCES = (
+    (f"{_GRANT} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "mit-grant", ("",)),
+    (f"{_AS_IS} express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit-as-is", ("",)),
+    (_FREE, "gpl-free", ("",)),
+    (f"{_FREE} either version {{v}} of the license or at your option any later version", "gpl-free-either-{v}", ("2", "3")),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse", ("",)),
+)
+OFFICIAL_RULES = (
+    ("BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-endorse")),
+    *((f"GPL-{v}.0-or-later", (f"gpl-free-either-{v}",)) for v in ("2", "3")),
+)
+
 #: Each known sentence contains one of these, so a text without them needs no splitting.
-TRIGGERS = ("licen", "permission", "redistribut", "rights reserved", "without warranty")
+#: They are parts of words, so no line break or second blank can hide them.
+TRIGGERS = ("licen", "permission", "redistribut", "reserved", "warranty")
+#: Between sentences, and between the lines of one.
+END, WRAP = "\x01", "\x02"
 
 
-def known_sentences() -> list[tuple[str, str]]:
-    return [(text.format(v=v), name.format(v=v)) for text, name, versions in SENTENCES for v in versions]
+def known_sentences(table: tuple = SENTENCES) -> list[tuple[str, str]]:
+    return [(text.format(v=v), name.format(v=v)) for text, name, versions in table for v in versions]
 
 
 def _sequence(names: tuple[str, ...]) -> str:
     return "".join(f"<{n}>" for n in names)
 
 
-def sentences(text: Column) -> Column:
-    """Sentences, normalised: lower-case letters and numbers, one blank between."""
-    lines = F.split(F.regexp_replace(F.lower(text), r"([.!?;:])\s+", "$1\n"), "\n")
-    plain = lambda s: F.regexp_replace(F.regexp_replace(s, "[^a-z0-9.]+", " "), r"\.( |$)", "$1")
-    return F.transform(lines, lambda s: F.trim(F.regexp_replace(plain(s), " +", " ")))
+def _marked(text: Column) -> Column:
+    """The normalised text: lower-case letters and numbers, one blank between words,
+    ``END`` between sentences and paragraphs, ``WRAP`` between other lines."""
+    out = F.translate(F.lower(text), END + WRAP, "__")
+    out = F.regexp_replace(out, r"([.!?;:])\s+", f"$1{END}")
+    out = F.regexp_replace(out, rf"\n(?=[^a-z0-9\n{END}]*\n)", END)
+    out = F.translate(out, "\n", WRAP)
+    out = F.regexp_replace(out, f"[^a-z0-9.{END}{WRAP}]+", " ")
+    out = F.regexp_replace(out, rf"\.(?=[ {END}{WRAP}]|$)", "")
+    return F.regexp_replace(F.regexp_replace(out, " +", " "), f" ?([{END}{WRAP}]) ?", "$1")
+
+
+def found_sentences(text: Column, known: list[str]) -> Column:
+    """The known sentences of a text, in order. One begins and ends at a line or a
+    sentence of the text; inside it lines may be wrapped. Longer ones go first."""
+    words = lambda s: s.replace(".", r"\.").replace(" ", f"[ {WRAP}]")
+    either = "|".join(words(s) for s in sorted(known, key=lambda s: (-len(s), s)))
+    edge = f"[{END}{WRAP}]"
+    found = F.regexp_extract_all(F.concat(F.lit(END), F.trim(_marked(text)), F.lit(END)), F.lit(f"(?<={edge})(?:{either})(?={edge})"), 0)
+    return F.transform(found, lambda s: F.translate(s, WRAP, " "))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -77,17 +111,19 @@ def licences(docs: DataFrame) -> DataFrame:
     doc_id or text have no finding; repeated rows are one finding each.
     ``licences`` lists the matched rules' licences in the order of the rules,
     each once; ``n_known`` counts the known sentences, ``n_left`` those that no
-    rule has used. The table of known sentences is a constant of this module.
+    rule has used. A sentence may be wrapped over lines. The table of known
+    sentences is a constant of this module.
     """
     text = F.lower("text")
     likely = F.lit(False)
     for word in TRIGGERS:
         likely = likely | F.contains(text, F.lit(word))
     rows = docs.where("doc_id is not null").where(likely).select(F.col("doc_id").cast("long"), "text")
-    known = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.lit(f"<{n}>")) for s, n in known_sentences()]))
-    names = F.filter(F.transform(sentences(F.col("text")), lambda s: F.get(F.array(known), F.lit(0))[s]), lambda n: n.isNotNull())
+    table = known_sentences(SENTENCES + OFFICIAL_SENTENCES)
+    known = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.lit(f"<{n}>")) for s, n in table]))
+    names = F.transform(found_sentences(F.col("text"), [s for s, _ in table]), lambda s: F.get(F.array(known), F.lit(0))[s])
     found = rows.select("doc_id", names.alias("names")).where(F.size("names") > 0)
-    rules = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(_sequence(r)).alias("sequence")) for name, r in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(_sequence(r)).alias("sequence")) for name, r in OFFICIAL_RULES + RULES])
     start = F.struct(F.array_join("names", "").alias("left"), F.array().cast("array<string>").alias("licences"))
     matched = F.aggregate(
         rules,

@@ -11,7 +11,7 @@ import pytest
 from itemloom.llm import queries
 from itemloom.llm.decontamination import contaminated
 from itemloom.llm.fingerprints import fingerprints
-from itemloom.llm.licences import licences
+from itemloom.llm.licences import OFFICIAL_SENTENCES, SENTENCES, TRIGGERS, known_sentences, licences
 from itemloom.llm.quotations import TURNS, last_before, linked_conversations
 
 
@@ -106,6 +106,80 @@ def test_licences(table):
     assert licences(table([])).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+GPL_3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+BSD_2 = """Copyright (c) 2020, A. Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_licences_of_official_texts(table):
+    texts = [MIT, GPL_2, GPL_3, BSD_2, BSD_3, APACHE]
+    names = ["MIT", "GPL-2.0-or-later", "GPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0"]
+    hashed = ["".join(f"# {line}".rstrip() + "\n" for line in t.splitlines()) for t in texts]
+    crlf = [t.replace("\n", "\r\n") for t in texts]
+    pairs = list(enumerate(texts + hashed + crlf + ["all\n rights  reserved"]))
+    found = {r["doc_id"]: (r["licences"], r["n_left"]) for r in licences(table(pairs)).collect()}
+    assert found == dict(enumerate([(n, 0) for n in names * 3 + ["Proprietary"]]))
+    for sentence, _ in known_sentences(SENTENCES + OFFICIAL_SENTENCES):
+        assert any(word in sentence for word in TRIGGERS) and not any(" " in word for word in TRIGGERS)
+
+
 MESSAGES = [
     ("a", 0, "user", "Hello there\nHow are you?"), ("a", 1, "assistant", "> how are  YOU?\nFine"),
     ("a", 2, "user", ">> How are you?\n> Fine\nGood"), ("a", 3, None, "ok"), ("a", 4, "user", "> Hello there\n> nothing\nback"),
