@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import licences as licence_rules
+from .backtracking_bpe import decode_documents, encode_documents
 from .decontamination import contaminated
 from .fingerprints import fingerprints
 from .language_id import languages
@@ -72,6 +73,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    coded = decode_documents(encode_documents(documents(spark, sf_dir), path), path)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -83,6 +91,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_bpe": op11_bpe,
 }
 
 _OP5_SQL = r"""
