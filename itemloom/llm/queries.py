@@ -12,6 +12,7 @@ from .language_id import languages
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quotations import linked_conversations
+from .spelling import letter_runs, spelling_variants
 from .substring_dedup import remove_repeats
 from .token_files import token_files
 from .toxicity import toxicity
@@ -80,6 +81,15 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = letter_runs(documents(spark, sf_dir), "A-Za-z\u00C0-\u00FF", 7)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run"))
+    # One in 31 runs of a document loses a letter.
+    cut = F.expr("concat(left(run, int(h % char_length(run))), substring(run, int(h % char_length(run)) + 2))")
+    words = runs.withColumn("h", h.cast("long")).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling_variants(words.withColumn("n", F.lit(1)), min_letters=7, min_count=2, ratio=10)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -92,6 +102,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op11_bpe": op11_bpe,
+    "op12_spelling": op12_spelling,
 }
 
 _OP5_SQL = r"""
