@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import licences as licence_rules
 from .backtracking_bpe import decode_documents, encode_documents
+from .conversation_repair import null_safe_join, repair_conversations, turn_hashes
 from .decontamination import contaminated
 from .fingerprints import fingerprints
 from .language_id import languages
@@ -90,6 +91,27 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(words.withColumn("n", F.lit(1)), min_letters=7, min_count=2, ratio=10)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, without marks, repeated or given to the user, by a hash of their place."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    role, text, k = F.coalesce("role", blank), F.coalesce("text", blank), F.col("k")
+    hurt = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("k")).where("k <> 0")
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    hurt = hurt.select("conv_id", "turn", F.when(k == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "k")
+    return hurt.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(1), F.when(k == 3, 2).otherwise(1)))).drop("col")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    audit, turns = repair_conversations(damaged(given))
+    every = null_safe_join(given.select("conv_id").distinct(), audit, ["conv_id"], "left")
+    every = null_safe_join(every, turn_hashes(turns), ["conv_id"], "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -103,6 +125,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_bpe": op11_bpe,
     "op12_spelling": op12_spelling,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _OP5_SQL = r"""
