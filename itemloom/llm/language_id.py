@@ -19,16 +19,22 @@ SAMPLE_TEXTS, SAMPLE_LETTERS = 200, 60_000
 #: Letters that one cross-parse covers. Longer texts are parsed in stretches of
 #: this length side by side; a phrase ends at the end of its stretch.
 STRETCH = 256
-#: Symbols of an automaton: its most frequent letters, a blank, and one for all others.
+#: Symbols that an automaton has a column for: a blank, the most frequent letters
+#: of its language, and one for all others, whose transitions stand in a list.
 SYMBOLS = 64
-BLANK, STRANGE = 0, SYMBOLS - 1
+BLANK, OTHER = 0, SYMBOLS - 1
+
+#: Bits of a letter that a language's sample does not have: those of any code point.
+LITERAL_BITS = 21
+
+_CODES = 0x110000
 
 
 @lru_cache(maxsize=1)
 def _folded() -> np.ndarray:
-    """Lower-case letter of each code point of the basic plane; 0 for what is no letter."""
-    out = np.zeros(1 << 16, dtype=np.uint16)
-    for code in range(1 << 16):
+    """Lower-case letter of each code point; 0 for what is no letter."""
+    out = np.zeros(_CODES, dtype=np.int32)
+    for code in range(_CODES):
         char = chr(code)
         if unicodedata.category(char)[0] == "L":
             low = char.lower()
@@ -37,8 +43,8 @@ def _folded() -> np.ndarray:
 
 
 def _letters(codes: np.ndarray) -> np.ndarray:
-    """Letters in lower case, 0 for everything else; letters beyond the basic plane count as one."""
-    return np.where(codes < 1 << 16, _folded()[np.minimum(codes, (1 << 16) - 1)], np.uint16(0xFFFF))
+    """Letters in lower case, 0 for everything else."""
+    return _folded()[codes]
 
 
 def _spaced(letters: np.ndarray) -> np.ndarray:
@@ -48,10 +54,9 @@ def _spaced(letters: np.ndarray) -> np.ndarray:
     return letters[keep]
 
 
-def suffix_automaton(symbols: list[int]) -> np.ndarray:
-    """Transitions (state * SYMBOLS + symbol -> state, -1: none) of the automaton
-    that accepts exactly the substrings of a sequence; it is built in linear time."""
-    table = np.full((2 * len(symbols) + 2, SYMBOLS), -1, dtype=np.int32)
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton that accepts exactly the
+    substrings of a sequence, from state 0; it is built in linear time."""
     rows: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -77,10 +82,60 @@ def suffix_automaton(symbols: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = twin
         last = state
-    for state, row in enumerate(rows):
-        for c, to in row.items():
-            table[state, c] = to
-    return table[: len(rows)]
+    return rows
+
+
+class Language:
+    """The automaton of one language's sample, as a table and a list."""
+
+    def __init__(self, sample: str):
+        letters = _spaced(_letters(np.frombuffer(sample.encode("utf-32-le"), dtype=np.uint32)))
+        known, counts = np.unique(letters[letters > 0], return_counts=True)
+        frequent = known[np.argsort(-counts, kind="stable")[: SYMBOLS - 2]]
+        self.symbol = np.full(_CODES, OTHER, dtype=np.int8)
+        self.symbol[0] = BLANK
+        self.symbol[frequent] = np.arange(1, len(frequent) + 1)
+        self.bits = np.log2(max(len(letters), 2))
+        self.strange = np.ones(_CODES, dtype=bool)
+        self.strange[letters] = self.strange[0] = False
+        symbols = self.symbol[letters].astype(np.int64)
+        rows = suffix_automaton(np.where(symbols == OTHER, SYMBOLS + letters, symbols).tolist())
+        table = np.full((len(rows), SYMBOLS), -1, dtype=np.int32)
+        others = []
+        for state, row in enumerate(rows):
+            for c, to in row.items():
+                if c < SYMBOLS:
+                    table[state, c] = to
+                else:
+                    others.append((state << 21 | c - SYMBOLS, to))
+        # One entry says where to go, times SYMBOLS, and in its lowest bit
+        # whether a phrase begins with the symbol. A symbol that even the root
+        # does not know is a phrase of its own; behind it, and at the start,
+        # there is a state that every symbol leaves with a new phrase.
+        self.start = len(rows)
+        root = np.where(table[0] < 0, self.start, table[0])
+        table = np.concatenate([table, np.full((1, SYMBOLS), -1, dtype=np.int32)])
+        ends = table < 0
+        self.table = (np.where(ends, root, table).astype(np.int32) * SYMBOLS + ends).astype(np.int32).reshape(-1)
+        others.sort()
+        self.keys = np.array([-1, *(k for k, _ in others)], dtype=np.int64)
+        self.targets = np.array([-1, *(to for _, to in others)], dtype=np.int32)
+
+    def step(self, at: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The table entries that lead on from entries ``at`` by one letter each."""
+        symbols = self.symbol[letters]
+        found = self.table[(at & -SYMBOLS) + symbols]
+        other = np.flatnonzero(symbols == OTHER)
+        if len(other):
+            own = letters[other].astype(np.int64)
+            root = self._listed(own)
+            inner = self._listed((at[other] // SYMBOLS).astype(np.int64) << 21 | own)
+            found[other] = np.where(inner >= 0, inner, np.where(root >= 0, root, self.start)) * SYMBOLS + (inner < 0)
+        return found
+
+    def _listed(self, keys: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.keys, keys, side="right") - 1
+        return np.where(self.keys[k] == keys, self.targets[k], -1)
 
 
 class Parser:
@@ -88,27 +143,7 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        texts = {k: _spaced(_letters(np.frombuffer(samples[k].encode("utf-32-le"), dtype=np.uint32))) for k in self.languages}
-        counts = np.zeros(1 << 16, dtype=np.int64)
-        for letters in texts.values():
-            counts += np.bincount(letters, minlength=1 << 16)
-        counts[0] = 0
-        frequent = np.argsort(-counts, kind="stable")[: SYMBOLS - 2]
-        frequent = frequent[counts[frequent] > 0]
-        self.symbol = np.full(1 << 16, STRANGE, dtype=np.int32)
-        self.symbol[0] = BLANK
-        self.symbol[frequent] = np.arange(1, len(frequent) + 1)
-        self.tables, self.bits = [], []
-        for k in self.languages:
-            symbols = self.symbol[texts[k]]
-            table = suffix_automaton(symbols[symbols != STRANGE].tolist())
-            # One entry says where to go, times SYMBOLS, and in its lowest bit
-            # whether a phrase ended before the symbol. A symbol that even the
-            # root does not know is a phrase of its own.
-            root = np.where(table[0] < 0, 0, table[0])
-            ends = table < 0
-            self.tables.append((np.where(ends, root, table).astype(np.int32) * SYMBOLS + ends).astype(np.int32).reshape(-1))
-            self.bits.append(np.log2(max(len(symbols), 2)))
+        self.automata = [Language(samples[k]) for k in self.languages]
 
     def entropy(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits per letter of every text (rows) under every language (columns), and the letters."""
@@ -118,7 +153,7 @@ class Parser:
         after[1:] = keep[:-1]
         after[offsets[:-1][offsets[:-1] < len(keep)]] = False
         kept = np.flatnonzero(keep | after)
-        symbols = self.symbol[letters[kept]]
+        spaced = letters[kept]
         first = np.searchsorted(kept, offsets)
         sizes = np.diff(first)
         stretches = -(-sizes // STRETCH)
@@ -130,17 +165,18 @@ class Parser:
         # live[t]: how many stretches, longest first, reach beyond place t.
         live = np.searchsorted(-length, -np.arange(STRETCH), side="left")
         out = np.zeros((len(sizes), len(self.languages)))
-        columns = [symbols[start[: live[t]] + t] for t in range(STRETCH) if live[t]]
-        for k, table in enumerate(self.tables):
-            state = np.zeros(len(start), dtype=np.int32)
-            phrases = np.ones(len(start), dtype=np.int32)
+        columns = [spaced[start[: live[t]] + t] for t in range(STRETCH) if live[t]]
+        for k, language in enumerate(self.automata):
+            state = np.full(len(start), language.start * SYMBOLS, dtype=np.int32)
+            phrases = np.zeros(len(start), dtype=np.int32)
             for column in columns:
                 n = len(column)
-                step = table[(state[:n] & -SYMBOLS) + column]
+                step = language.step(state[:n], column)
                 state[:n] = step
                 phrases[:n] += step & 1
             total = np.bincount(row, weights=phrases, minlength=len(sizes))
-            out[:, k] = total * self.bits[k] / np.maximum(sizes, 1)
+            literals = np.diff(np.concatenate([[0], np.cumsum(language.strange[spaced])])[first])
+            out[:, k] = (total * language.bits + literals * (LITERAL_BITS - language.bits)) / np.maximum(sizes, 1)
         return out, np.diff(np.concatenate([[0], np.cumsum(keep)])[offsets])
 
 

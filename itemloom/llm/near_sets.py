@@ -24,7 +24,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     data = LOWER[data]
     start, end, first = word_spans(data, offsets)
     hasher = _hash(5)
-    words = hasher.spans(hasher.sums(data), start, end)
+    words = hasher.spans(data, start, end)
     grams = chain(words, width)
     sets = []
     for a, b in zip(first[:-1], first[1:]):

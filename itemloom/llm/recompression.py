@@ -11,6 +11,7 @@ around them. ``lo`` and ``hi`` tell which words a symbol depends on.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -92,25 +93,63 @@ class Symbols:
         return (at == n - 1) | (self.row[at] != self.row[np.minimum(at + 1, n - 1)])
 
 
+_PRIME = (1 << 61) - 1
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves that fit 64 bits."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    middle = a1 * b0 + a0 * b1
+    middle_low = (middle & np.uint64((1 << 30) - 1)) << np.uint64(31)
+    return _reduced(_reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + middle_low) + a0 * b0)
+
+
+class _Powers:
+    """Powers of a number modulo the prime, as many as were asked for so far."""
+
+    def __init__(self, base: int):
+        self.base, self.found = base, np.ones(1, dtype=np.uint64)
+
+    def first(self, n: int) -> np.ndarray:
+        while len(self.found) < n:
+            step = np.uint64(pow(self.base, len(self.found), _PRIME))
+            self.found = np.concatenate([self.found, _times(self.found, step)])
+        return self.found[:n]
+
+
+@lru_cache(maxsize=4)
+def _bases(seed: int) -> tuple[_Powers, _Powers]:
+    base = int(mix(np.array([seed], dtype=np.uint64), 3)[0]) % (_PRIME - 1) + 1
+    return _Powers(base), _Powers(pow(base, -1, _PRIME))
+
+
 class Sequences:
-    """Two independent hashes of any span of words, from prefix sums."""
+    """Two hashes of any span of words, from prefix sums of polynomials modulo a
+    prime with a base each. ``more`` are second hashes of the words, so that the
+    two have nothing in common from the bytes up."""
 
-    def __init__(self, words: np.ndarray, seeds: tuple[int, ...] = (51, 52)):
+    def __init__(self, words: np.ndarray, more: np.ndarray):
         self.parts = []
-        for seed in seeds:
-            base = int(mix(np.array([seed], dtype=np.uint64), 3)[0]) | 1
-            size = len(words) + 1
-            powers = np.full(size, base, dtype=np.uint64)
-            inverses = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
-            powers[0] = inverses[0] = 1
-            powers, inverses = np.multiply.accumulate(powers), np.multiply.accumulate(inverses)
-            sums = np.zeros(size, dtype=np.uint64)
-            np.cumsum(mix(words, seed) * powers[:-1], out=sums[1:])
+        for own, seed in ((words, 51), (more, 52)):
+            powers, inverses = (p.first(len(own) + 1) for p in _bases(seed))
+            terms = _times(_reduced(own), powers[:-1])
+            sums = np.zeros(len(own) + 1, dtype=np.uint64)
+            low = np.cumsum(terms & np.uint64((1 << 32) - 1), dtype=np.uint64)
+            high = np.cumsum(terms >> np.uint64(32), dtype=np.uint64)
+            sums[1:] = _reduced(_times(_reduced(high), np.uint64(1 << 32)) + _reduced(low))
             self.parts.append((sums, inverses, seed))
 
     def spans(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
         sums, inverses, seed = self.parts[which]
-        return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64), seed)
+        inside = _reduced(sums[end] + np.uint64(_PRIME) - sums[start])
+        return mix(_times(inside, inverses[start]) ^ (end - start).astype(np.uint64) << np.uint64(40), seed)
 
 
 def long_symbols(words: np.ndarray, row: np.ndarray, rounds: int) -> Symbols:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,15 @@ from .words import SpanHash, signed, text_batches, word_spans
 LONG_ROUNDS, WINDOW_ROUNDS = 12, 1
 
 
-@lru_cache(maxsize=1)
-def _hash() -> SpanHash:
-    return SpanHash(41)
+#: Two hashes of a word; together they tell words apart.
+_HASHES = SpanHash(41), SpanHash(42)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Sequences, np.ndarray]:
+    """Words, hashes of any sequence of them, and the first word of each row (rows + 1)."""
     start, end, first = word_spans(data, offsets)
-    return _hash().spans(_hash().sums(data), start, end), first
+    words, more = (h.spans(data, start, end) for h in _HASHES)
+    return words, Sequences(words, more), first
 
 
 def _lists(part: pa.RecordBatch, name: str) -> Iterator[tuple[int, list]]:
@@ -46,7 +46,7 @@ def _long_repeats(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
-            words, first = _words(data, offsets)
+            words, sequences, first = _words(data, offsets)
             counts = np.diff(first)
             row = np.repeat(np.arange(len(counts)), counts)
             symbols = long_symbols(words, row, LONG_ROUNDS)
@@ -58,7 +58,6 @@ def _long_repeats(docs: DataFrame, width: int) -> DataFrame:
             # Two symbols that are all of a text are the whole text already.
             some = (end - start >= width) & (whole | (end - start < counts[rows]))
             rows, start, end = rows[some], start[some], end[some]
-            sequences = Sequences(words)
             own = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -84,8 +83,7 @@ def _long_repeats(docs: DataFrame, width: int) -> DataFrame:
 
 def _open_windows(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: int):
     """Words, first words of rows, and (first word, row, name) of windows outside certified stretches."""
-    words, first = _words(data, offsets)
-    sequences = Sequences(words)
+    words, sequences, first = _words(data, offsets)
     window, row, name = window_anchors(words, first, width, WINDOW_ROUNDS, sequences)
     done = np.zeros(len(words) + 1, dtype=bool)
     for i, stretches in _lists(part, "certified"):

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .words import LOWER, SpanHash
+from .words import LANE_BYTES, LOWER, SpanHash, lane, lanes
 
 LETTER, NUMBER, OTHER, SPACE, WHOLE = range(5)
 
@@ -55,31 +55,61 @@ class WordTokenizer:
         self.mask = 4 * MAX_WORDS - 1
         self.keys = np.zeros(self.mask + 1, dtype=np.uint64)
         self.index = np.zeros(self.mask + 1, dtype=np.int32)
-        self.starts, self.pool = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
-        self.known, self.pooled = 0, 0
+        self.starts, self.pool = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        self.text_starts, self.text = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and the first id of each row (rows + 1)."""
-        if self.known > MAX_WORDS:
-            self._reset()
         start, end = self._units(data, offsets)
         if not len(start):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
+        # At most as many units at a time as the table still takes.
+        parts = [self._encode_units(data, start[k : k + MAX_WORDS], end[k : k + MAX_WORDS]) for k in range(0, len(start), MAX_WORDS)]
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([sizes for _, sizes in parts]))])
+        return np.concatenate([ids for ids, _ in parts]), bounds[np.searchsorted(start, offsets)]
+
+    def _encode_units(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units, and how many each has."""
+        if len(self.starts) > MAX_WORDS:
+            self._reset()
         folded = data if self.spaced else LOWER[data]
-        names = self.hash.spans(self.hash.sums(folded), start, end)
-        at = self._find(names)
-        missing = np.flatnonzero(at < 0)
+        short = np.flatnonzero(end - start <= LANE_BYTES)
+        names = self.hash.spans(folded, start[short], end[short])
+        found = self._find(names)
+        missing = np.flatnonzero(found < 0)
         if len(missing):
-            self._learn(data, start, end, names, missing)
-            at[missing] = self._find(names[missing])
-        if len(self.pool) > 1:
-            self.pool, self.starts = [np.concatenate(self.pool)], [np.concatenate(self.starts)]
-        pool, starts = self.pool[0], self.starts[0]
-        first, sizes = starts[at], starts[at + 1] - starts[at]
+            self._learn(data, folded, start[short], end[short], names, missing)
+            found[missing] = self._find(names[missing])
+        # Long units, and those whose hash belongs to another word, go through the library each time.
+        at = np.full(len(start), -1, dtype=np.int64)
+        at[short] = np.where(self._same(folded, start[short], end[short], found), found, -1)
+        alone = np.flatnonzero(at < 0)
+        first, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        extra, sizes[alone] = self._library_ids(data, start[alone], end[alone])
+        first[alone] = len(self.pool) + np.cumsum(sizes[alone]) - sizes[alone]
+        pool = np.concatenate([self.pool, extra]) if len(alone) else self.pool
         ends = np.cumsum(sizes)
-        ids = pool[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])
-        return ids, bounds[np.searchsorted(start, offsets)]
+        return pool[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+
+    def _library_ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes() if len(start) else b""
+        texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def _same(self, folded: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each unit has the bytes of the word at its place in the table."""
+        size, stored = end - start, self.text_starts[at]
+        same = self.text_starts[at + 1] - stored == size
+        own, known = lanes(folded), lanes(self.text)
+        live, k = np.flatnonzero(same), 0
+        while len(live):
+            live = live[size[live] > 8 * k]
+            like = lane(own, start[live], size[live], k) == lane(known, stored[live], size[live], k)
+            same[live[~like]] = False
+            live, k = live[like], k + 1
+        return same
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
@@ -159,20 +189,18 @@ class WordTokenizer:
             rest, slot = rest[on], (slot[on] + 1) & self.mask
         return out
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray, missing: np.ndarray) -> None:
+    def _learn(self, data: np.ndarray, folded: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray, missing: np.ndarray) -> None:
         fresh, at = np.unique(names[missing], return_index=True)
-        at = missing[at]
-        raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())]
-        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.starts.append(self.pooled + np.cumsum(sizes))
-        self.pool.append(np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(sizes.sum())))
-        self.pooled += int(sizes.sum())
-        value = np.arange(self.known, self.known + len(fresh), dtype=np.int32)
-        self.known += len(fresh)
-        if self.known > 3 * MAX_WORDS:
-            raise MemoryError("one batch has more distinct words than the table can take")
+        start, end = start[missing[at]], end[missing[at]]
+        ids, sizes = self._library_ids(data, start, end)
+        value = np.arange(len(fresh), dtype=np.int32) + np.int32(len(self.starts) - 1)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.pool = np.concatenate([self.pool, ids])
+        letters = end - start
+        ends = np.cumsum(letters)
+        own = folded[np.repeat(start - ends + letters, letters) + np.arange(ends[-1])]
+        self.text_starts = np.concatenate([self.text_starts, self.text_starts[-1] + ends])
+        self.text = np.concatenate([self.text, own])
         slot = (fresh & np.uint64(self.mask)).astype(np.int64)
         while len(fresh):
             free = self.keys[slot] == 0

@@ -58,11 +58,10 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray],
     """For each word, its hash and those of its prefixes (0: it has none); first words of rows."""
     data = LOWER[data]
     start, end, first = word_spans(data, offsets, LETTERS)
-    sums = _hash().sums(data)
-    out = [_hash().spans(sums, start, end)]
+    out = [_hash().spans(data, start, end)]
     for size in PREFIXES:
         cut = np.minimum(start + size, end)
-        out.append(np.where(end - start >= size, _hash().spans(sums, start, cut) + np.uint64(size), np.uint64(0)))
+        out.append(np.where(end - start >= size, _hash().spans(data, start, cut) + np.uint64(size), np.uint64(0)))
     return out, first
 
 
@@ -94,7 +93,8 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray) -> list[tuple[int,
     scores ``DRIFT``. A new token joins the segments on its left as long as that
     makes a segment whose score beats both of its ends.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, total before it, total with it
+    # First, last, total before it, total with it, and the nearest segment on its left with a smaller total before.
+    stack: list[tuple[int, int, float, float, int]] = []
     total, previous = 0.0, None
     for place, score in zip(places.tolist(), scores.tolist()):
         if previous is not None:
@@ -102,16 +102,18 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray) -> list[tuple[int,
         previous = place
         first, left, right = place, total, total + score
         total = right
-        while stack:
-            k = len(stack) - 1
+        k = len(stack) - 1
+        while True:
+            # What stands between a segment and its link has no smaller total, so it is passed over.
             while k >= 0 and stack[k][2] >= left:
-                k -= 1
+                k = stack[k][4]
             if k < 0 or stack[k][3] >= right:
                 break
-            first, left = stack[k][0], stack[k][2]
+            first, _, left, _, before = stack[k]
             del stack[k:]
-        stack.append((first, place, left, right))
-    return [(a, b, right - left) for a, b, left, right in stack]
+            k = before
+        stack.append((first, place, left, right, k))
+    return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
 def _segments(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:

@@ -1,13 +1,13 @@
 """Vectorised reading of text columns inside Arrow tasks: words, hashes, batches.
 
 Text stays UTF-8 bytes; a word is a maximal run of bytes that are not ASCII
-white space. Hashes are polynomial over the bytes, taken from prefix sums, and
-mixed, so hashing any number of spans costs one pass over the bytes.
+white space. All spans of a piece are hashed together, eight bytes at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,34 +41,51 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+#: Longer spans are hashed one by one.
+LANE_BYTES = 64
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; behind the end there are zeros."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def lane(numbers: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of spans that have more than 8 k; zeros behind their ends."""
+    return numbers[start + 8 * k] & _MASKS[np.minimum(size - 8 * k, 8)]
+
+
 class SpanHash:
-    """Hashes byte spans of a piece; ``seed`` gives independent functions."""
+    """Hashes byte spans of a piece; ``seed`` gives independent functions.
+
+    A span is taken in by eight bytes at a time, mixed after each, so that no
+    pattern of letters cancels out as it does in sums and polynomials modulo a
+    power of two. Spans of more than 64 bytes go through BLAKE2.
+    """
 
     def __init__(self, seed: int):
-        self.letters = mix(np.arange(1, 257, dtype=np.uint64), seed)
         self.seed = seed
-        self.base = int(mix(np.array([seed], dtype=np.uint64), 77)[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = max(n, PIECE_BYTES + 1)
-            for name, base in (("powers", self.base), ("inverses", self.inverse)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.letters[data] * self.powers[: len(data)], out=out[1:])
-        return out
 
-    def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """One hash for each span [start, end) of the bytes behind ``sums``."""
-        raw = (sums[end] - sums[start]) * self.inverses[start]
-        return mix(raw + (end - start).astype(np.uint64), self.seed)
+    def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One hash for each span [start, end) of the bytes."""
+        size = end - start
+        out = mix(size.astype(np.uint64), self.seed)
+        long = np.flatnonzero(size > LANE_BYTES)
+        if len(long):
+            key = self.seed.to_bytes(8, "little")
+            for i, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist()):
+                out[i] = int.from_bytes(blake2b(data[a:b].tobytes(), digest_size=8, key=key).digest(), "little")
+        numbers = lanes(data)
+        live = np.flatnonzero((size > 0) & (size <= LANE_BYTES))
+        k = 0
+        while len(live):
+            out[live] = mix(out[live] ^ lane(numbers, start[live], size[live], k), self.seed)
+            k += 1
+            live = live[size[live] > 8 * k]
+        return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from itemloom.llm import toxicity as tox
-from itemloom.llm.language_id import BLANK, SAMPLE_LETTERS, STRANGE, Parser, languages, learn, suffix_automaton
+from itemloom.llm.language_id import LITERAL_BITS, SAMPLE_LETTERS, Parser, languages, learn, suffix_automaton
 from itemloom.llm.toxicity import DRIFT, maximal_segments, toxicity
 
 LARGER = "/root/testdata/sf0.01"
@@ -15,14 +15,14 @@ LARGER = "/root/testdata/sf0.01"
 
 def test_automaton_accepts_exactly_the_substrings():
     text = [1, 2, 1, 1, 2, 3, 1, 2, 1, 1, 1, 3]
-    table = suffix_automaton(text)
+    rows = suffix_automaton(text)
 
     def accepts(word):
         state = 0
         for c in word:
-            state = table[state, c]
-            if state < 0:
+            if c not in rows[state]:
                 return False
+            state = rows[state][c]
         return True
 
     inside = {tuple(text[i:j]) for i in range(len(text)) for j in range(i, len(text) + 1)}
@@ -37,10 +37,52 @@ def test_phrases_are_counted_as_by_hand():
     codes = np.frombuffer("Abc, abz?".encode("utf-32-le"), dtype=np.uint32)
     bits, letters = parser.entropy(codes, np.array([0, len(codes)]))
     # under x, "abc ab" is: abc | blank | ab, then z: unknown even to the root, a phrase of its own
-    assert letters.tolist() == [6] and BLANK != STRANGE
+    assert letters.tolist() == [6]
     assert bits[0, 0] < bits[0, 1]
 
 
+def phrases(sample, text):
+    """Greedy longest phrases of spaced letters, in stretches of 256, and the letters that no phrase has."""
+    fold = lambda x: " ".join("".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in x).split())
+    sample, text, n = fold(sample), fold(text), 0
+    for k in range(0, len(text), 256):
+        part, at = text[k : k + 256], 0
+        while at < len(part):
+            size = 1
+            while at + size < len(part) and part[at : at + size + 1] in sample:
+                size += 1
+            n, at = n + 1, at + size
+    return n, sum(c != " " and c not in sample for c in text)
+
+
+def test_phrases_against_brute_force_in_any_script():
+    """More letters than an automaton has columns, and letters beyond the basic plane."""
+    rng = random.Random(3)
+    scripts = ["".join(map(chr, range(0x4E00, 0x4E00 + 150))), "abcdefgh", "".join(map(chr, range(0x20000, 0x20050))) + "xy", "αβγδεζη"]
+    samples = {str(i): "".join(rng.choice(s + "  ") for _ in range(2000)) for i, s in enumerate(scripts)}
+    parser = Parser(samples)
+    for n in range(60):
+        text = "a" + "".join(rng.choice(rng.choice(scripts) + " 1😀") for _ in range(rng.randrange(600))) + rng.choice(list(samples.values()))[: rng.randrange(500)]
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        bits, letters = parser.entropy(codes, np.array([0, len(codes)]))
+        spaced = len(" ".join("".join(c if c.isalpha() else " " for c in text).split())) + (not text[-1].isalpha())
+        for k, sample in enumerate(samples.values()):
+            n_phrases, literals = phrases(sample, text)
+            own = parser.automata[k].bits
+            # A blank behind the last letter may be one phrase more.
+            assert abs(bits[0, k] * spaced - n_phrases * own - literals * (LITERAL_BITS - own)) <= 1.01 * own
+        assert letters[0] == sum(c.isalpha() for c in text)
+
+
+def test_languages_of_other_scripts(table):
+    chinese = [(i, "".join(chr(0x4E00 + (i * 7 + k * k) % 900) for k in range(80))) for i in range(1, 40)]
+    japanese = [(100 + i, "".join(chr(0x3042 + (i * 5 + k * k) % 80) for k in range(80))) for i in range(1, 40)]
+    rows = table(chinese, "zh").union(table(japanese, "ja")).union(table([(200 + i, "plain words of a language") for i in range(5)], "en"))
+    found = {r["doc_id"]: r["lang_pred"] for r in languages(rows.union(table([(300, "😀🎉👍"), (301, "\U00020000\U00020001")], None))).collect()}
+    assert all(found[i] == ("zh" if i < 100 else "ja" if i < 200 else "en") for i in found if i < 300)
+    assert found[300] == "und" and found[301] != "und"
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -62,6 +104,15 @@ def test_languages_of_special_rows(table):
     assert languages(table([])).collect() == []
 
 
+def test_segments_of_very_many_hits_in_linear_time():
+    import time
+
+    places = np.arange(200_000) * 40
+    start = time.perf_counter()
+    assert len(maximal_segments(places, np.full(len(places), 1.0))) == len(places)
+    assert time.perf_counter() - start < 2
+
+
 def test_samples_are_made_of_many_texts(table):
     copies = [(1000 * k + i, f"copied {k * 'y'}") for k in range(3) for i in range(150)]
     long = [(10_000 + k, f"{chr(97 + k)} " * 100_000) for k in range(20)]

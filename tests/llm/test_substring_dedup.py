@@ -66,7 +66,7 @@ def test_equal_windows_are_found_by_equal_symbols():
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     words = mix(np.concatenate(texts).astype(np.uint64))
     for rounds in (1, 2, 3):
-        at, row, name = window_anchors(words, first, 13, rounds, Sequences(words))
+        at, row, name = window_anchors(words, first, 13, rounds, Sequences(words, words))
         place = {(r, a - first[r]): n for a, r, n in zip(at, row, name)}
         assert len({place[i, k] for i, k in enumerate((0, 1, 2, 5, 30))}) == 1
 
