@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.codes import code_entry, parse_code_entry
 from ..functions.text import APP, natural_key, normalize_description, strip, word_count
 from ..functions.values import exact_sum
-from ..sources.writer import append_log, editable_table, save_version
+from ..sources.writer import editable_table, export_log, save_version
 
 # Names of columns of the result table, and the rule that the log names.
 NORMALIZED = "descrição_normalizada"
@@ -256,13 +256,14 @@ def log_tail(log: DataFrame, limit: int) -> DataFrame:
 def apply_merges(
     spark: SparkSession, source: str, versions: str, assignments: DataFrame, log: str, strict: bool = False
 ) -> MergeResult:
-    """Merge in the editable copy of a result table: read its newest version,
-    write the rows of the taxpayers with merges as the next one, append to the
-    log. The source table never changes."""
+    """Merge in the editable copy of a result table: read its newest version and
+    write the rows of the taxpayers with merges as the next one, with the log of
+    the merges in the same commit. Then ``log``, JSON lines for other programs, is
+    brought up to the versions. The source table never changes."""
     version, table = editable_table(spark, source, versions)
     result = merge_groups(table, assignments, strict, target=versions)
-    save_version(result.updated, versions, version + 1, assignments.select("cnpj"))
-    append_log(result.log, log)
+    save_version(result.updated, versions, version + 1, assignments.select("cnpj"), result.log)
+    export_log(spark, versions, log)
     return result
 
 
