@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
@@ -89,9 +90,9 @@ def taxpayer_id(c: Column, strict: bool = False) -> Column:
     return _exact_length(c, 14) if strict else digits_only(c)
 
 
-def clean_taxpayer_id(value: str | None, strict: bool = False) -> str:
-    """The same for a job parameter, which has to have digits, or 14 if strict."""
-    digits = "".join(c for c in value or "" if c in "0123456789")
-    if len(digits) in ((14,) if strict else range(1, len(value or "") + 1)):
-        return digits
-    raise ValueError(f"{value!r} is no taxpayer id: it needs {'14' if strict else 'some'} digits")
+def required_taxpayer_id(value: str | None) -> str:
+    """The digits of a taxpayer id that a job is asked for; without any, the job has nobody to work for."""
+    digits = "".join(re.findall("[0-9]", value or ""))
+    if not digits:
+        raise ValueError(f"{value!r} is no taxpayer id: it has no digits")
+    return digits

@@ -74,19 +74,6 @@ def zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
-def normalize_types(df: DataFrame) -> DataFrame:
-    """Decimals without a fraction become BIGINT, other decimals DOUBLE."""
-
-    def typed(field: T.StructField) -> Column:
-        c = F.col(f"`{field.name}`")
-        if not isinstance(field.dataType, T.DecimalType):
-            return c
-        whole = field.dataType.scale == 0 and field.dataType.precision <= 18
-        return c.cast("bigint" if whole else "double").alias(field.name)
-
-    return df.select(*[typed(f) for f in df.schema.fields])
-
-
 def decimal_text(c: Column) -> Column:
     """A decimal with the digits that it has: no zeros at the end of a fraction,
     and no point after a whole number."""

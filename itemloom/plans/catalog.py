@@ -27,9 +27,10 @@ from ..operators.report import display_cells, export_view, html_report, html_row
 from ..sources.layouts import canonical_items
 from ..sources.reader import catalogue, extract_all, extract_counts, load_dataset, load_if_exists, query
 from ..sources.schemas import PRODUCT_KEYS
-from ..sources.writer import append_log, editable_table, save_dataset, save_version, staging_dir
+from ..sources.writer import append_log, compact, editable_table, save_dataset, save_version, staging_dir, version_log
 from . import standins as s
 from .consolidation import Consolidation
+from .job import consolidate
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEPARATOR = " | "
@@ -161,6 +162,35 @@ def logged_versions(spark, sf_dir):
     return spark.read.schema("s_suppkey long, versao string").json(f"{folder}/log")
 
 
+@registered
+def twenty_versions(spark, sf_dir):
+    """An editable table after twenty versions, each with its log, and a compaction half way."""
+    folder = f"{staging_dir(spark)}/itemloom/versions-{uuid.uuid4().hex}"
+    source = s.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("cnpj"), "s_suppkey", F.lit(0).alias("valor"))
+    save_dataset(source, f"{folder}/source")
+    for step in range(1, 21):
+        version, table = editable_table(spark, f"{folder}/source", f"{folder}/copy")
+        changed = table.select("cnpj").where(F.pmod(F.col("cnpj").cast("int"), F.lit(20)) == step - 1).distinct()
+        rows = table.withColumn("valor", F.col("valor") + step)
+        save_version(rows, f"{folder}/copy", version + 1, changed, changed.withColumn("passo", F.lit(step)))
+        if step == 10:
+            compact(spark, f"{folder}/copy")
+    log = version_log(spark, f"{folder}/copy").drop("versao")
+    return editable_table(spark, f"{folder}/source", f"{folder}/copy")[1].join(log, "cnpj")
+
+
+@registered
+def extracts_to_products(spark, sf_dir):
+    """Products from the raw tables in one job."""
+    out = f"{staging_dir(spark)}/itemloom/job-{uuid.uuid4().hex}"
+    written = consolidate(spark, s.raw_tables(spark, sf_dir), s.references(spark, sf_dir), out, data_limite=s.CUTOFF)
+    return shown(spark.read.parquet(written["tabela_produtos"].path).select(
+        "cnpj", "descrição_normalizada", "descricao", "codigo_padrao", "qtd_codigos", "lista_codigos", "lista_ncm", "lista_unid",
+        "tipo_item_padrao", "NCM_padrao", "CEST_padrao", "GTIN_padrao", "lista_fontes", "lista_descricoes",
+        "lista_chaves_produto", "co_sefin_inferido", "conflito_co_sefin",
+    ))
+
+
 @registered
 def extract_row_counts(spark, sf_dir):
     sources = s.sources(spark, sf_dir)

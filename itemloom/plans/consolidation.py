@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -30,45 +30,48 @@ class Consolidation:
 
     With ``reuse`` the steps that several results read are staged as tables, so
     that each is worked out once; without it they stay part of one plan.
+    ``keep`` gives them a place of its own: it takes a name and what makes the table.
     """
 
-    def __init__(self, items: DataFrame, references: References = References(), reuse: bool = False):
+    def __init__(
+        self,
+        items: DataFrame,
+        references: References = References(),
+        reuse: bool = False,
+        keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None,
+    ):
         self.items = items
         self.references = references
-        self.reuse = reuse
-
-    def _shared(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, name) if self.reuse else df
+        self._keep = keep or (lambda name, make: stage(make(), name) if reuse else make())
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return self._shared(profiles(self.items), "profiles")
+        return self._keep("profiles", lambda: profiles(self.items))
 
     @cached_property
     def variants(self) -> DataFrame:
         r = self.references
-        classified = classify(clean_items(variants(self.profiles)), r.cest_ncm, r.cest, r.ncm)
-        return self._shared(classified, "variants")
+        return self._keep("variants", lambda: classify(clean_items(variants(self.profiles)), r.cest_ncm, r.cest, r.ncm))
 
     @cached_property
     def index(self) -> DataFrame:
-        return self._shared(product_index(self.variants), "index")
+        return self._keep("index", lambda: product_index(self.variants))
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return self._shared(g.evidence(self.variants), "evidence")
+        return self._keep("evidence", lambda: g.evidence(self.variants))
 
     @cached_property
     def codes(self) -> DataFrame:
-        return self._shared(g.codes(self.evidence), "codes")
+        return self._keep("codes", lambda: g.codes(self.evidence))
 
     @cached_property
     def groups(self) -> DataFrame:
-        return self._shared(g.grouped(self.evidence, self.codes, self.index), "groups")
+        return self._keep("groups", lambda: g.grouped(self.evidence, self.codes, self.index))
 
     @cached_property
     def sums(self) -> DataFrame:
-        return self._shared(annual_sums(self.profiles), "sums")
+        return self._keep("sums", lambda: annual_sums(self.profiles))
 
     @cached_property
     def pivot(self) -> DataFrame | None:
@@ -88,7 +91,7 @@ class Consolidation:
         return g.split_codes(self.evidence, self.codes, self.index)
 
     def code_mapping(self) -> DataFrame:
-        described = self._shared(g.described_codes(self.evidence, self.codes), "described")
+        described = self._keep("described", lambda: g.described_codes(self.evidence, self.codes))
         return g.code_mapping(self.codes, described)
 
     def product_index(self) -> DataFrame:
@@ -97,6 +100,18 @@ class Consolidation:
     def audited_items(self) -> DataFrame:
         return audited_items(self.items, self.index)
 
+    def results(self) -> dict[str, Callable[[], DataFrame]]:
+        """What makes each of the seven result tables."""
+        return {
+            "tabela_descricoes_unificadas": self.unified_descriptions,
+            "codigos_desagregados": self.split_codes,
+            "tabela_produtos": self.final_products,
+            "mapeamento_codigos": self.code_mapping,
+            "indice_produtos": self.product_index,
+            "tabela_somas_anuais": lambda: self.sums,
+            "tabela_itens_auditados": self.audited_items,
+        }
+
 
 #: Result tables and the keys that order each inside a taxpayer.
 TABLES = {
@@ -129,15 +144,7 @@ def run_all(
     Tables that were staged on the way are deleted at the end.
     """
     job = Consolidation(canonical_items(sources, spark), references, reuse=True)
-    results = {
-        "tabela_descricoes_unificadas": job.unified_descriptions,
-        "codigos_desagregados": job.split_codes,
-        "tabela_produtos": job.final_products,
-        "mapeamento_codigos": job.code_mapping,
-        "indice_produtos": job.product_index,
-        "tabela_somas_anuais": lambda: job.sums,
-        "tabela_itens_auditados": job.audited_items,
-    }
+    results = job.results()
     written = {}
     with staged_tables(spark):
         for name, keys in TABLES.items():

@@ -347,8 +347,39 @@ def _report() -> str:
     return f"select {head} as value union all select {_row(cells)} from part union all select {foot}"
 
 
+_CALCULATIONS = """calc as (select cast(l_orderkey as varchar) as k, l_linenumber as i, min(l_returnflag) as co,
+  max(l_linestatus) as r, max(l_tax) as v from lineitem group by 1, 2)"""
+
+# The items as the extracts give them, from the raw tables.
+_RAW_ITEMS = f"""items as (select {_ITEM_COLUMNS} from (
+  select cnpj, case when seq_nitem <= 3 then 'nfe' else 'nfce' end as fonte, prod_cprod as codigo, prod_xprod as descricao,
+    null as descr_compl, null as tipo_item, prod_ncm as ncm, prod_cest as cest, null as gtin, null as unid,
+    {_DIRECTION} as tipo_operacao, prod_qcom as qtd, prod_vprod as valor, dhemi as data_mov from parties
+  union all select v.cnpj, 'c170', {_P["codigo"]}, m.descr_item, p_type, m.tipo_item, m.cod_ncm, m.cest, m.cod_barra, {_P["unid"]},
+    '{INBOUND}', l_quantity, l_extendedprice, case when o_orderstatus <> 'P' then o_orderdate end
+  from {_LINES} join valid v on l_orderkey = v.reg_0000_id join orders on l_orderkey = o_orderkey
+    left join master m on m.reg_0000_id = l_orderkey and m.cod_item = {_P["codigo"]}
+  union all select v.cnpj, 'bloco_h', {_P["codigo"]}, m.descr_item, p_type, m.tipo_item, m.cod_ncm, m.cest, m.cod_barra, {_P["unid"]},
+    '{INVENTORY}', l_quantity, l_extendedprice, o_orderdate
+  from {_LINES} join valid v on l_orderkey = v.reg_0000_id join orders on l_orderkey = o_orderkey
+    left join master m on m.reg_0000_id = l_orderkey and m.cod_item = {_P["codigo"]}
+  union all select cnpj, 'fronteira', prod_cprod, prod_xprod, null, null, prod_ncm, prod_cest, null, null, {_DIRECTION},
+    prod_qcom, prod_vprod, null from parties join calc on calc.k = chave_acesso and calc.i = seq_nitem
+  where seq_nitem <= 3 and dhemi <= {_ORDERS_CUTOFF}))"""
+
+_FROM_RAW = [_FILINGS, _MASTER, _DOCUMENTS, _PARTIES, _CALCULATIONS, _RAW_ITEMS, *_TO_GROUPS[1:]]
+
+
 def statements() -> dict[str, str]:
     text = {
+        "twenty_versions": "select cast(s_nationkey as varchar) as cnpj, s_suppkey, s_nationkey % 20 + 1 as valor,"
+        " s_nationkey % 20 + 1 as passo from supplier",
+        "extracts_to_products": _with(
+            _FROM_RAW,
+            f"""select cnpj, "descrição_normalizada", descricao, codigo_padrao, qtd_codigos, lista_codigos, lista_ncm, lista_unid,
+  tipo_item_padrao, "NCM_padrao", "CEST_padrao", "GTIN_padrao", lista_fontes, lista_descricoes, lista_chaves_produto,
+  co_sefin_inferido, conflito_co_sefin from ({_group_table("r.codigo_final", "lista_codigos_final")})""",
+        ),
         "direction_case": _with(
             [_DOCUMENTS, _PARTIES],
             f"select cnpj, {_DIRECTION} as tipo_operacao, chave_acesso, seq_nitem, co_emitente, co_destinatario,"

@@ -12,6 +12,7 @@ from ..functions.codes import valid_cest, valid_ncm
 from ..operators.merge import NORMALIZED
 from ..sources.layouts import INBOUND, OUTBOUND, UNDEFINED
 from .consolidation import References
+from .job import RawTables
 
 CUTOFF = "30/06/2000"
 
@@ -254,6 +255,21 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
+    """The raw tables; documents are of one kind or the other by their item."""
+    sold = documents(spark, sf_dir)
+    return RawTables(
+        nfe=sold.where("seq_nitem <= 3"),
+        nfce=sold.where("seq_nitem > 3"),
+        calculations=calculations(spark, sf_dir),
+        r0000=filings(spark, sf_dir),
+        r0200=filing_products(spark, sf_dir),
+        c100=fiscal_documents(spark, sf_dir),
+        c170=fiscal_lines(spark, sf_dir),
+        **inventory_tables(spark, sf_dir),
+    )
+
+
 def references(spark: SparkSession, sf_dir: str) -> References:
     """Goods classes by the codes that occur, for the sizes each table covers."""
     part = table(spark, sf_dir, "part").select(

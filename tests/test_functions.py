@@ -108,20 +108,18 @@ def test_code_entries(spark):
     ("12.345.678/0001-90", "12345678000190"), ("12345678000190", "12345678000190"), ("12.345abc", "12345"),
 ])
 def test_taxpayer_id(spark, value, expected):
-    assert codes.clean_taxpayer_id(value) == expected
+    assert codes.required_taxpayer_id(value) == expected
     assert apply(spark, codes.taxpayer_id, [value]) == [expected]
 
 
 @pytest.mark.parametrize("value", [None, "", "abc"])
 def test_taxpayer_id_invalid(spark, value):
     with pytest.raises(ValueError, match="taxpayer id"):
-        codes.clean_taxpayer_id(value)
+        codes.required_taxpayer_id(value)
     assert apply(spark, codes.taxpayer_id, [value]) == [None]
 
 
 def test_taxpayer_id_strict(spark):
-    with pytest.raises(ValueError):
-        codes.clean_taxpayer_id("123", strict=True)
     assert apply(spark, lambda c: codes.taxpayer_id(c, True), ["12.345.678/0001-90", "123"]) == ["12345678000190", None]
 
 
@@ -160,11 +158,6 @@ def test_counts_of_any_length_keep_their_weight(spark):
     assert [int(r.n) for r in got] == [99999999999999999999, int("9" * 30)]
 
 
-def test_normalize_types(spark):
-    df = spark.sql("select cast(5 as decimal(10,0)) a, cast(1.5 as decimal(10,2)) b, cast(1 as decimal(30,0)) c, 'x' d")
-    assert [f.dataType.simpleString() for f in values.normalize_types(df).schema] == ["bigint", "double", "double", "string"]
-
-
 def test_display_cells(spark):
     df = spark.sql("select array('a', null, 'b') l, cast(null as string) n, true t, 3 i, 1.5D d")
     from itemloom.operators.report import display_cells
