@@ -153,15 +153,21 @@ def _attribute_rows(evidence: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def _listed(kind: str) -> Column:
-    return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
-
-
 def _mode(kind: str) -> Column:
     key = mode_key(F.col("freq"), F.col("ultima"), F.col("value"))
     return F.min(F.when(F.col("kind") == kind, key))["value"]
 
 
+def _of_kind(kind: str) -> Column:
+    """The sorted values of one kind, out of ``listed``."""
+    return F.transform(F.filter("listed", lambda x: x["kind"] == kind), lambda x: x["value"])
+
+
+def _listed() -> Column:
+    """All values of a group in one sorted array; one buffer per group, whatever the number of kinds."""
+    return F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("kind", "value")))).alias("listed")
+
+
 def product_keys(index: DataFrame, group: Sequence[str]) -> DataFrame:
     """Product keys as evidence rows; each product belongs to one group."""
     return index.where(F.col("descricao_normalizada").isNotNull()).select(
@@ -169,46 +175,81 @@ def product_keys(index: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def grouped(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per group with its lists, modes and representative code, both
-    with original and with split codes."""
-    code_rows = codes.select(
-        *GROUP,
-        F.lit("codigo").alias("kind"),
-        F.col("codigo").alias("value"),
-        code_entry(F.col("codigo"), F.col("qtd_descricoes_diferentes")).alias("entry"),
-        # A split code has one description, as has a code that was not split.
-        code_entry(F.coalesce("codigo_desagregado", "codigo"), F.lit(1)).alias("final_entry"),
-        F.struct(code_key().alias("key"), F.coalesce("codigo_desagregado", "codigo").alias("final")).alias("code"),
+def code_rows(codes: DataFrame) -> DataFrame:
+    """Entries of each group's code lists, original and split, and what ranks the code."""
+    code = F.struct(code_key().alias("key"), F.coalesce("codigo_desagregado", "codigo").alias("final"))
+    # A split code has one description, as has a code that was not split.
+    entries = F.array(
+        F.struct(F.lit("entry").alias("kind"), code_entry(F.col("codigo"), F.col("qtd_descricoes_diferentes")).alias("value"), code.alias("code")),
+        F.struct(F.lit("final_entry").alias("kind"), code_entry(F.coalesce("codigo_desagregado", "codigo"), F.lit(1)).alias("value"), F.lit(None).alias("code")),
     )
-    rows = (
+    return codes.select(*GROUP, F.inline(entries))
+
+
+#: List column of each kind of value.
+LIST_COLUMNS = {
+    "entry": "lista_codigos", "final_entry": "lista_codigos_final", "tipo_item": "lista_tipo_item", "ncm": "lista_ncm",
+    "cest": "lista_cest", "gtin": "lista_gtin", "unid": "lista_unid", "fonte": "lista_fontes",
+    "descricao": "lista_descricoes", "chave": "lista_chaves_produto",
+}
+
+
+def _group_rows(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFrame:
+    return (
         _attribute_rows(evidence, GROUP)
-        .unionByName(code_rows, allowMissingColumns=True)
+        .unionByName(code_rows(codes), allowMissingColumns=True)
         .unionByName(product_keys(index, GROUP), allowMissingColumns=True)
     )
+
+
+def list_rows(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFrame:
+    """The lists of all groups in long form: (cnpj, descricao_normalizada, lista,
+    valor), each value once. A group of any number of values is many rows, in as
+    many tasks as they take; the list columns of the group tables are a view of it."""
+    names = F.create_map(*[F.lit(x) for pair in LIST_COLUMNS.items() for x in pair])
+    rows = _group_rows(evidence, codes, index).where(F.col("kind").isin(list(LIST_COLUMNS)))
+    return rows.select(*GROUP, names[F.col("kind")].alias("lista"), F.col("value").alias("valor"))
+
+
+#: Values of one segment of a stored list.
+SEGMENT = 1000
+
+
+def list_segments(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """Long lists as they are stored: each list as sorted segments of at most
+    ``size`` values, numbered from 0, with the values of the list altogether.
+
+    Values are numbered over range partitions, so a list of millions is spread
+    over tasks, and no array is longer than a segment.
+    """
+    of_list = [*GROUP, "lista"]
+    numbered = number_within(rows, of_list, [F.col("valor").asc()], "place", size="qtd_valores", name="lists")
+    segment = F.floor((F.col("place") - 1) / size).alias("segmento")
+    values = F.array_sort(F.collect_list("valor")).alias("valores")
+    return numbered.groupBy(*of_list, segment).agg(F.max("qtd_valores").alias("qtd_valores"), values)
+
+
+def whole_lists(segments: DataFrame) -> DataFrame:
+    """(cnpj, descricao_normalizada, lista, valores): each list in one row again."""
+    ordered = F.array_sort(F.collect_list(F.struct("segmento", "valores")))
+    return segments.groupBy(*GROUP, "lista").agg(F.flatten(F.transform(ordered, lambda x: x["valores"])).alias("valores"))
+
+
+def grouped(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFrame:
+    """One row per group with its lists, modes and representative code, both
+    with original and with split codes."""
+    modes = {"descricao": "descricao", "tipo_item": "tipo_item_padrao", "ncm": "NCM_padrao", "cest": "CEST_padrao", "gtin": "GTIN_padrao", "co_sefin": "co_sefin_inferido"}
     return (
-        rows.groupBy(*GROUP)
+        _group_rows(evidence, codes, index)
+        .groupBy(*GROUP)
         .agg(
-            _mode("descricao").alias("descricao"),
+            *[_mode(kind).alias(name) for kind, name in modes.items()],
             F.min("code").alias("code"),
-            F.count("entry").alias("qtd_codigos"),
-            F.array_sort(F.collect_list("entry")).alias("lista_codigos"),
-            F.array_sort(F.collect_list("final_entry")).alias("lista_codigos_final"),
-            _listed("tipo_item").alias("lista_tipo_item"),
-            _listed("ncm").alias("lista_ncm"),
-            _listed("cest").alias("lista_cest"),
-            _listed("gtin").alias("lista_gtin"),
-            _listed("unid").alias("lista_unid"),
-            _mode("tipo_item").alias("tipo_item_padrao"),
-            _mode("ncm").alias("NCM_padrao"),
-            _mode("cest").alias("CEST_padrao"),
-            _mode("gtin").alias("GTIN_padrao"),
-            _listed("fonte").alias("lista_fontes"),
-            _listed("descricao").alias("lista_descricoes"),
-            _listed("chave").alias("lista_chaves_produto"),
-            _mode("co_sefin").alias("co_sefin_inferido"),
-            F.coalesce(F.count(F.when(F.col("kind") == "co_sefin", 1)) > 1, F.lit(False)).alias("conflito_co_sefin"),
+            F.count(F.when(F.col("kind") == "entry", 1)).alias("qtd_codigos"),
+            (F.count(F.when(F.col("kind") == "co_sefin", 1)) > 1).alias("conflito_co_sefin"),
+            _listed(),
         )
+        .withColumns({column: _of_kind(kind) for kind, column in LIST_COLUMNS.items()})
         .withColumns(
             {
                 "codigo_padrao": F.col("code.key.codigo"),
@@ -218,7 +259,7 @@ def grouped(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFram
                 "verificado": F.lit(False),
             }
         )
-        .drop("code")
+        .drop("code", "listed")
     )
 
 
@@ -288,16 +329,16 @@ def split_codes(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> Data
         .groupBy(*of_code, "codigo_desagregado")
         .agg(
             _mode("descricao").alias("descricao"),
-            _listed("tipo_item").alias("lista_tipo_item"),
-            _listed("ncm").alias("lista_ncm"),
-            _listed("cest").alias("lista_cest"),
-            _listed("gtin").alias("lista_gtin"),
-            _listed("unid").alias("lista_unid"),
-            _listed("co_sefin").alias("co_sefin_inferido"),
             F.min(F.when(F.col("kind") == "descricao", first))["value"].alias("descricao_padrao"),
-            _listed("chave").alias("lista_chaves_produto"),
+            _listed(),
+        )
+        .select(
+            "cnpj", "codigo_desagregado", "descricao",
+            *[_of_kind(k).alias(f"lista_{k}") for k in ("tipo_item", "ncm", "cest", "gtin", "unid")],
+            _of_kind("co_sefin").alias("co_sefin_inferido"),
+            "descricao_padrao",
+            _of_kind("chave").alias("lista_chaves_produto"),
         )
-        .drop("descricao_normalizada", "codigo_item")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.codes import code_entry, parse_code_entry
 from ..functions.text import APP, natural_key, normalize_description, strip, word_count
 from ..functions.values import exact_sum
-from ..sources.writer import editable_table, export_log, save_version
+from ..sources.writer import editable_table, export_log, save_version, stage
 
 # Names of columns of the result table, and the rule that the log names.
 NORMALIZED = "descrição_normalizada"
@@ -88,7 +88,7 @@ def _values(kind: str, array: Column, weighted: bool = False) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
             (parsed["codigo"] if weighted else v).alias("value"),
-            (parsed["n"] if weighted else F.lit(1)).cast("bigint").alias("n"),
+            (parsed["n"] if weighted else F.lit(1)).cast("decimal(30,0)").alias("n"),
         )
 
     present = F.filter(F.coalesce(array, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != ""))
@@ -117,9 +117,9 @@ def _counted_values(rows: DataFrame, lists: list[str], modes: list[str]) -> Data
     )
 
 
-def _union(kind: str) -> Column:
-    pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "value"))))
-    return F.transform(pairs, lambda p: p["value"])
+def _union(kind: str, field: str = "value") -> Column:
+    """The values of one kind in natural order, out of ``listed``."""
+    return F.transform(F.filter("listed", lambda x: x["kind"] == kind), lambda x: x[field])
 
 
 def _most(kind: str) -> Column:
@@ -133,24 +133,20 @@ def merged_rows(rows: DataFrame, assignments: DataFrame, schema_of: DataFrame, s
     lists = LISTS + ([] if strict else [c for c in EXTRA_LISTS if c in schema_of.columns])
     modes = MODES + ([] if strict else [c for c in EXTRA_MODES if c in schema_of.columns])
 
-    entries = F.array_sort(
-        F.collect_list(
-            F.when(
-                F.col("kind") == "lista_codigos",
-                F.struct("key", "value", code_entry(F.col("value"), F.col("highest")).alias("entry")),
-            )
-        )
-    )
+    unions = [*lists, "lista_descricoes_normalizadas"]
+    entry = F.when(F.col("kind") == "lista_codigos", code_entry(F.col("value"), F.col("highest"))).alias("entry")
+    listed = F.when(F.col("kind").isin(["lista_codigos", *unions]), F.struct("kind", "key", "value", entry))
     values = (
         _counted_values(rows, lists, modes)
         .groupBy(*MERGE)
         .agg(
             _most("lista_codigos").alias("codigo_padrao"),
             F.count(F.when(F.col("kind") == "lista_codigos", 1)).alias("qtd_codigos"),
-            F.transform(entries, lambda e: e["entry"]).alias("lista_codigos"),
-            *[_union(c).alias(c) for c in [*lists, "lista_descricoes_normalizadas"]],
+            F.array_sort(F.collect_list(listed)).alias("listed"),
             *[_most(c).alias(c if c != "descricao" else "mode_descricao") for c in modes],
         )
+        .withColumns({"lista_codigos": _union("lista_codigos", "entry"), **{c: _union(c) for c in unions}})
+        .drop("listed")
     )
     words = word_count(F.col(NORMALIZED))
     longest = F.min(F.when(words > 0, F.struct((-words).alias("words"), "ord", F.col(NORMALIZED).alias("text"))))
@@ -214,7 +210,8 @@ def merge_groups(
     any code, are not done and listed in ``rejected``.
     """
     table = with_default_description(table)
-    rows = selected_rows(table, assignments)
+    # Read for values, totals, classes, the rows that go, and the log.
+    rows = stage(selected_rows(table, assignments), "merge-rows")
     merged = merged_rows(rows, assignments, table, strict)
     done = merged.select(*MERGE)
     gone = rows.join(done, MERGE, "left_semi").select("cnpj", "key_norm", "key_desc")

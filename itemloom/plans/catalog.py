@@ -18,8 +18,8 @@ from ..functions.conditions import CONTAINS, ENDS, EQUALS, IS_NULL, NOT_NULL, ST
 from ..functions.conditions import with_quick_filters
 from ..functions.values import exact_sum
 from ..functions.text import APP, PIPELINE, natural_sorted, normalize_description, normalize_unit, word_count
-from ..operators import extract, merge
-from ..operators.explore import explore
+from ..operators import extract, groups, merge
+from ..operators.explore import explore, page_index
 from ..operators.groups import GROUP, mapping_summary, mode_by_group
 from ..operators.items import clean_items, identified
 from ..operators.registry import known_taxpayers, registry_upsert
@@ -162,6 +162,20 @@ def logged_versions(spark, sf_dir):
     return spark.read.schema("s_suppkey long, versao string").json(f"{folder}/log")
 
 
+@registered
+def list_values(spark, sf_dir):
+    """The lists of all groups in long form."""
+    j = job(spark, sf_dir)
+    return groups.list_rows(j.evidence, j.codes, j.index)
+
+
+@registered
+def stored_lists(spark, sf_dir):
+    """Lists as they are stored, in segments of three values, so that many have several."""
+    j = job(spark, sf_dir)
+    return shown(groups.list_segments(groups.list_rows(j.evidence, j.codes, j.index), 3))
+
+
 @registered
 def twenty_versions(spark, sf_dir):
     """An editable table after twenty versions, each with its log, and a compaction half way."""
@@ -467,6 +481,21 @@ def page(spark, sf_dir):
     return view.rows.withColumn("total", F.lit(view.total).cast("bigint"))
 
 
+@registered
+def pages_of_index(spark, sf_dir):
+    """A first, a late and the last page out of one index."""
+    given = dict(
+        conditions=[Condition("l_returnflag", EQUALS, "R")],
+        columns=["l_orderkey", "l_partkey", "l_linenumber"],
+        order=["l_partkey", "l_orderkey", "l_linenumber"],
+    )
+    lines = s.table(spark, sf_dir, "lineitem")
+    index = page_index(lines, **given)
+    last = -(-index.total // 100)
+    pages = [explore(lines, page=k, size=100, index=index, **given).rows.withColumn("pagina", F.lit(k)) for k in (1, last // 2, last)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 @registered
 def page_ties(spark, sf_dir):
     """All pages of an order with many ties, together: the whole table."""

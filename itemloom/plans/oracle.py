@@ -370,8 +370,33 @@ _RAW_ITEMS = f"""items as (select {_ITEM_COLUMNS} from (
 _FROM_RAW = [_FILINGS, _MASTER, _DOCUMENTS, _PARTIES, _CALCULATIONS, _RAW_ITEMS, *_TO_GROUPS[1:]]
 
 
+_GROUP_LISTS = {
+    "lista_tipo_item": "tipo_item", "lista_ncm": "ncm_limpo", "lista_cest": "cest_limpo", "lista_gtin": "gtin_limpo",
+    "lista_unid": "unid_padronizada", "lista_fontes": "fonte", "lista_descricoes": "descricao",
+    "lista_chaves_produto": "cast(chave_produto as varchar)",
+}
+_LIST_ROWS = "list_rows as (" + " union all ".join(
+    [
+        f"select distinct cnpj, dn as descricao_normalizada, '{name}' as lista, {x} as valor from keyed where {x} <> ''"
+        for name, x in _GROUP_LISTS.items()
+    ]
+    + [
+        "select cnpj, dn, 'lista_codigos', printf('[%s; %d]', codigo, qtd) from codes",
+        "select cnpj, dn, 'lista_codigos_final', printf('[%s; 1]', coalesce(desag, codigo)) from codes",
+    ]
+) + ")"
+
+
 def statements() -> dict[str, str]:
     text = {
+        "list_values": _with([*_TO_CODES, _LIST_ROWS], "select * from list_rows"),
+        "stored_lists": _with(
+            [*_TO_CODES, _LIST_ROWS],
+            f"""select cnpj, descricao_normalizada, lista, cast((rn - 1) // 3 as bigint) as segmento, n as qtd_valores,
+  string_agg(valor, '{SEP}' order by valor) as valores from (
+  select *, row_number() over (partition by cnpj, descricao_normalizada, lista order by valor) as rn,
+    count(*) over (partition by cnpj, descricao_normalizada, lista) as n from list_rows) group by all""",
+        ),
         "twenty_versions": "select cast(s_nationkey as varchar) as cnpj, s_suppkey, s_nationkey % 20 + 1 as valor,"
         " s_nationkey % 20 + 1 as passo from supplier",
         "extracts_to_products": _with(
@@ -590,6 +615,10 @@ from big b join reps r on r.cnpj = b.cnpj and {_last_word("r.dn")} = b.merge_id
         " where cast(l_shipdate as date) - date '1970-01-01' > 9000"
         " and cast(l_shipdate as date) - date '1970-01-01' <= 9500.5"
         " and epoch_us(cast(l_shipdate as timestamp)) >= 7.9e14",
+        "pages_of_index": """with r as (select l_orderkey, l_partkey, l_linenumber,
+    cast((row_number() over (order by l_partkey, l_orderkey, l_linenumber) - 1) // 100 + 1 as integer) as pagina,
+    cast((count(*) over () + 99) // 100 as integer) as paginas from lineitem where l_returnflag = 'R')
+  select l_orderkey, l_partkey, l_linenumber, pagina from r where pagina in (1, paginas // 2, paginas)""",
         "page_ties": "select p_partkey, p_size, p_brand from part",
         "small_amounts": """select l_suppkey, cast(l_orderkey % 6 as bigint) as tamanho,
   cast(sum(l_linenumber) as double) as total from lineitem group by all""",

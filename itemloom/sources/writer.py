@@ -54,17 +54,18 @@ def staged_tables(spark: SparkSession) -> Iterator[None]:
         _staged.paths = before
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Write an intermediate table and read it back.
 
     What follows depends on the written files alone, so a lost executor never
-    recomputes it, and several consumers see the same rows.
+    recomputes it, and several consumers see the same rows. ``by`` gives each
+    value of some columns a folder, so that a filter on them lists few files.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/itemloom/{name}-{uuid.uuid4().hex}"
     if getattr(_staged, "paths", None) is not None:
         _staged.paths.append(path)
-    df.write.parquet(path, compression="snappy")
+    df.write.partitionBy(*by).parquet(path, compression="snappy")
     return spark.read.schema(df.schema).parquet(path)
 
 

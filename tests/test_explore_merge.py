@@ -227,6 +227,32 @@ def test_registry(spark):
     assert [r.cnpj for r in known.collect()] == ["1", "2", "9"]
 
 
+def test_pages_of_an_index_read_their_ranges(spark):
+    df = spark.range(0, 20_000, 1, 8).selectExpr("id % 97 as a", "case when id % 5 = 0 then null else id end as b", "map('k', id) as m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = x.page_index(df, [Condition("a", "<", "90")], order=["a"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.total == df.where("a < 90").count() and len(index.starts) > 1
+    for page in (1, 2, 40, -(-index.total // 300), 500):
+        by_index = x.explore(df, [Condition("a", "<", "90")], page=page, size=300, order=["a"], index=index)
+        by_top = x.page_rows(df.where("a < 90"), page, 300, ["a"])
+        assert [r[:2] for r in by_index.rows.collect()] == [r[:2] for r in by_top.collect()]
+        plan = by_index.rows._jdf.queryExecution().executedPlan().toString()
+        assert ("PartitionFilters" in plan or page == 500) and by_index.total == index.total
+    starts = sorted(index.starts.values())
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    assert x.page_index(df.where("false")).rows(1, 10).collect() == []
+    assert x.page_rows(df, 100, 200, ["a"]).count() == 200  # beyond the rows that a top-k takes
+
+
+def test_merge_keeps_counts_of_any_size(spark):
+    rows = [group("UM", "um", [f"[A; {10**25 - 1}]", "[B; 2]"]), group("DOIS", "dois", ["[A; 99999999999999999999]", "[B; 10000000000000000000000000]"])]
+    merged = m.merge_groups(groups(spark, rows), assign(spark, [("UM", "um", "m", 1), ("DOIS", "dois", "m", 2)])).merged.first()
+    assert merged.codigo_padrao == "A" and merged.lista_codigos == [f"[A; {10**25 - 1}]", f"[B; {10**25}]"]
+
+
 def test_two_writers_of_one_version(spark, tmp_path):
     from itemloom.sources.writer import editable_table, save_dataset, save_version
 
