@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize_description
-from ..functions.values import rest_sum
+from ..functions.values import exact_sum, rest_sum
 from .groups import GROUP
 
 # Operation words, tested in this order, and their column names.
@@ -66,3 +66,22 @@ def annual_pivot(sums: DataFrame, columns: list[str]) -> DataFrame:
     named = sums.withColumn("__column", year_column())
     pivot = named.groupBy(*GROUP).pivot("__column", columns).agg(F.sum("valor_total"))
     return pivot.fillna(0.0, subset=columns)
+
+
+def annual_map(sums: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """(cnpj, descricao_normalizada, valores): the year columns of each group as a
+    map in the order of their names, for the years of a range.
+
+    A group has as many entries as it has columns with a value, so neither the
+    driver nor the schema knows them, and one wrong date makes no column of all
+    groups. What lies outside the range is in :func:`years_outside`.
+    """
+    inside = sums.where(F.col("ano").between(first_year, last_year))
+    totals = inside.groupBy(*GROUP, year_column().alias("name")).agg(exact_sum(F.col("valor_total")).alias("total"))
+    entries = F.array_sort(F.collect_list(F.struct("name", "total")))
+    return totals.groupBy(*GROUP).agg(F.map_from_entries(entries).alias("valores"))
+
+
+def years_outside(sums: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """The sums of years that :func:`annual_map` leaves out, for correction."""
+    return sums.where(~F.col("ano").between(first_year, last_year))

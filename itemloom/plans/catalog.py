@@ -23,6 +23,8 @@ from ..operators.explore import explore, page_index
 from ..operators.groups import GROUP, mapping_summary, mode_by_group
 from ..operators.items import clean_items, identified
 from ..operators.registry import known_taxpayers, registry_upsert
+from ..operators.scale import number_within
+from ..operators.sums import annual_map, years_outside
 from ..operators.report import display_cells, export_view, html_report, html_rows, short_report
 from ..sources.layouts import canonical_items
 from ..sources.reader import catalogue, extract_all, extract_counts, load_dataset, load_if_exists, query
@@ -162,6 +164,15 @@ def logged_versions(spark, sf_dir):
     return spark.read.schema("s_suppkey long, versao string").json(f"{folder}/log")
 
 
+@registered
+def annual_maps(spark, sf_dir):
+    """Year columns as a map of each group, for some of the years, and the sums of the others."""
+    sums = job(spark, sf_dir).sums
+    inside = annual_map(sums, 1996, 1998).select(*GROUP, F.explode("valores").alias("coluna", "valor"))
+    outside = years_outside(sums, 1996, 1998).groupBy(*GROUP).agg(exact_sum(F.col("valor_total")).alias("valor"))
+    return inside.unionByName(outside.withColumn("coluna", F.lit("fora")))
+
+
 @registered
 def list_values(spark, sf_dir):
     """The lists of all groups in long form."""
@@ -227,9 +238,47 @@ def dataset_catalogue(spark, sf_dir):
     return catalogue({"events": by_taxpayer("events", "user_id"), "orders": by_taxpayer("orders", "o_custkey")})
 
 
+def _positions(ordered, keys):
+    """First place and number of the rows of each key, in the order that the rows come in."""
+    placed = ordered.withColumn("__come", F.monotonically_increasing_id())
+    numbered = number_within(placed, [], [F.col("__come").asc()], "place", name="order")
+    return numbered.groupBy(*keys).agg(F.min("place").alias("primeira"), F.count(F.lit(1)).alias("linhas"))
+
+
+@registered
+def fiscal_order(spark, sf_dir):
+    tables = s.fiscal_documents(spark, sf_dir), s.fiscal_lines(spark, sf_dir), s.filing_products(spark, sf_dir)
+    rows = extract.fiscal_items(s.filings(spark, sf_dir), *tables, s.CUTOFF, ordered=True)
+    return _positions(rows, ["periodo_efd", "num_doc", "num_item"])
+
+
+@registered
+def inventory_order(spark, sf_dir):
+    rows = extract.inventory(
+        s.filings(spark, sf_dir), r0200=s.filing_products(spark, sf_dir), data_limite=s.CUTOFF, ordered=True, **s.inventory_tables(spark, sf_dir)
+    )
+    return shown(_positions(rows, ["dt_inv", extract.clean_code(F.col("codigo_produto")).alias("codigo")]))
+
+
 # Items
 
 
+@registered
+def dirty_items(spark, sf_dir):
+    """Numbers and dates that cannot be read, through the item table."""
+    found = identified(canonical_items(s.dirty_source(spark, sf_dir)))
+    return shown(found.select("cnpj", "codigo", "descricao", "qtd", "valor", "data_mov"))
+
+
+@registered
+def dirty_audited(spark, sf_dir):
+    """Items without a code, a description or letters in it, on their way through the job."""
+    j = Consolidation(canonical_items(s.dirty_source(spark, sf_dir)))
+    kept = j.audited_items().select(F.lit("itens").alias("tabela"), "cnpj", "codigo", "descricao", "chave_produto")
+    indexed = j.product_index().select(F.lit("indice").alias("tabela"), "cnpj", "codigo", "descricao", "chave_produto")
+    return kept.unionByName(indexed)
+
+
 @registered
 def canonical(spark, sf_dir):
     return shown(items(spark, sf_dir))
@@ -538,9 +587,55 @@ def csv_cells(spark, sf_dir):
     return display_cells(job(spark, sf_dir, reuse=False).product_index())
 
 
+@registered
+def export_modes(spark, sf_dir):
+    """Rows and columns of all three kinds of export."""
+    part, wanted = s.table(spark, sf_dir, "part"), [Condition("p_size", ">=", "20")]
+    modes = [(mode, export_view(part, mode, wanted, ["p_partkey", "p_name", "none"])) for mode in ("full", "filtered", "visible")]
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("linhas"), F.sum("p_partkey").alias("soma")).select(F.lit(mode).alias("modo"), F.lit(len(df.columns)).alias("colunas"), "linhas", "soma")
+        for mode, df in modes
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 # Merges and bookkeeping
 
 
+def _merged_in_sessions(spark, sf_dir):
+    """The editable copy of the products after two sessions of merges; its folder."""
+    folder = f"{staging_dir(spark)}/itemloom/merges-{uuid.uuid4().hex}"
+    save_dataset(job(spark, sf_dir).final_products(), f"{folder}/source")
+    chosen = s.assignments(spark.read.parquet(f"{folder}/source"))
+    for session in ("merge_id < 'M'", "merge_id >= 'M'"):
+        merge.apply_merges(spark, f"{folder}/source", f"{folder}/copy", chosen.where(session), f"{folder}/log")
+    return folder
+
+
+@registered
+def merges_in_sessions(spark, sf_dir):
+    folder = _merged_in_sessions(spark, sf_dir)
+    return editable_table(spark, f"{folder}/source", f"{folder}/copy")[1].select(
+        "cnpj", F.col("descrição_normalizada").alias("descricao_normalizada"), "descricao", "codigo_padrao", "qtd_codigos"
+    )
+
+
+@registered
+def session_log(spark, sf_dir):
+    """The log of the versions, and the same as JSON lines for other programs."""
+    folder = _merged_in_sessions(spark, sf_dir)
+    committed = version_log(spark, f"{folder}/copy").select("cnpj", "seq", F.size("linhas_origem").alias("linhas"), "versao")
+    exported = spark.read.schema("cnpj string, seq string").json(f"{folder}/log").withColumn("exportada", F.lit(True))
+    return committed.join(exported, ["cnpj", "seq"], "left")
+
+
+@registered
+def history_without_selection(spark, sf_dir):
+    table = job(spark, sf_dir).final_products()
+    rest = merge.without_merged(table, table.where("qtd_codigos > 1"))
+    return rest.select("cnpj", F.col("descrição_normalizada").alias("descricao_normalizada"), "descricao")
+
+
 def _merge(spark, sf_dir, strict=False):
     table = job(spark, sf_dir).final_products()
     return merge.merge_groups(

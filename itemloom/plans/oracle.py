@@ -387,8 +387,64 @@ _LIST_ROWS = "list_rows as (" + " union all ".join(
 ) + ")"
 
 
+_DIRTY = f"""dirty as (select cnpj, prod_cprod as codigo, trim(prod_xprod) as descricao,
+    coalesce(try_cast(prod_qcom as double), 0) as qtd, coalesce(try_cast(prod_vprod as double), 0) as valor,
+    try_cast(dhemi as timestamp) as data_mov, prod_ncm as ncm from (select {_selected(s.DIRTY)} from part)
+  where prod_cprod is not null and prod_xprod is not null)"""
+
+
 def statements() -> dict[str, str]:
     text = {
+        "fiscal_order": _with(
+            [_FILINGS, _MASTER],
+            f"""select periodo_efd, num_doc, num_item, min(rn) as primeira, count(*) as linhas from (
+  select strftime(v.dt_ini, '%Y/%m') as periodo_efd, cast(l_orderkey as varchar) as num_doc, l_linenumber as num_item,
+    row_number() over (order by v.dt_ini, cast(l_orderkey as varchar), l_linenumber) as rn
+  from {_LINES} join valid v on l_orderkey = v.reg_0000_id
+    left join master m on m.reg_0000_id = l_orderkey and m.cod_item = {_P["codigo"]}) group by all""",
+        ),
+        "inventory_order": _with(
+            [_FILINGS, _MASTER],
+            f"""select dt_inv, codigo, min(rn) as primeira, count(*) as linhas from (
+  select strftime(o_orderdate, '%Y-%m-%d') as dt_inv, {_P["codigo"]} as codigo,
+    row_number() over (order by o_orderdate desc, {_P["codigo"]}) as rn
+  from {_LINES} join valid v on l_orderkey = v.reg_0000_id join orders on l_orderkey = o_orderkey
+    left join master m on m.reg_0000_id = l_orderkey and m.cod_item = {_P["codigo"]}) group by all""",
+        ),
+        "dirty_items": _with([_DIRTY], "select cnpj, codigo, descricao, qtd, valor, cast(data_mov as varchar) as data_mov from dirty"),
+        "dirty_audited": _with(
+            [
+                _DIRTY,
+                "didx as (select *, row_number() over (partition by cnpj order by codigo, descricao, ncm nulls last) as chave_produto"
+                " from (select distinct cnpj, codigo, descricao, ncm from dirty))",
+            ],
+            f"""select 'indice' as tabela, cnpj, codigo, descricao, chave_produto from didx
+union all select 'itens', d.cnpj, d.codigo, d.descricao, chave_produto from dirty d join didx i on d.cnpj = i.cnpj
+  and d.codigo = i.codigo and d.descricao = i.descricao and d.ncm is not distinct from i.ncm where {_normal("d.descricao")} is not null""",
+        ),
+        "export_modes": "select 'full' as modo, 6 as colunas, count(*) as linhas, sum(p_partkey) as soma from part"
+        " union all select 'filtered', 6, count(*), sum(p_partkey) from part where p_size >= 20"
+        " union all select 'visible', 2, count(*), sum(p_partkey) from part where p_size >= 20",
+        "session_log": _with(
+            [*_TO_GROUPS, *_merge_ctes()],
+            f"""select b.cnpj, b.merge_id as seq, cast(count(*) as integer) as linhas,
+  cast(case when b.merge_id < 'M' then 1 else 2 end as bigint) as versao, true as exportada
+from big b join lists l on l.cnpj = b.cnpj and {_last_word("l.dn")} = b.merge_id group by b.cnpj, b.merge_id""",
+        ),
+        "history_without_selection": _with(
+            _TO_GROUPS,
+            f"""select cnpj, "descrição_normalizada" as descricao_normalizada, descricao
+from ({_group_table("r.codigo_final", "lista_codigos_final")}) where qtd_codigos <= 1""",
+        ),
+        "annual_maps": _with(
+            [ITEMS, CLEAN, SUMS],
+            """select cnpj, descricao_normalizada, concat(case when tipo_operacao like '%ENTRADA%' then 'Valores_Entradas'
+    when tipo_operacao like '%SAIDA%' then 'Valores_Saidas' when tipo_operacao like '%INVENTARIO%' then 'Estoque_final'
+    else 'Outros' end, '_', cast(ano as varchar)) as coluna, cast(sum(cast(valor_total as decimal(28, 2))) as double) as valor
+  from sums where ano between 1996 and 1998 group by all
+union all select cnpj, descricao_normalizada, 'fora', cast(sum(cast(valor_total as decimal(28, 2))) as double)
+  from sums where ano not between 1996 and 1998 group by all""",
+        ),
         "list_values": _with([*_TO_CODES, _LIST_ROWS], "select * from list_rows"),
         "stored_lists": _with(
             [*_TO_CODES, _LIST_ROWS],
@@ -648,4 +704,5 @@ select cnpj, fonte, case fonte when 'bloco_h' then cast(cast(floor(quantia) as b
             " select lpad(cast(user_id as varchar), 14, '0') from events union select cnpj from items",
         ),
     }
-    return text
+    # Two sessions leave the table that one job leaves.
+    return text | {"merges_in_sessions": text["merge_table_update"]}

@@ -255,6 +255,22 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+#: An extract with what goes wrong: no code, no description or one without letters, unreadable numbers and dates.
+DIRTY = {
+    "cnpj": taxpayer("p_partkey % 3"),
+    "prod_cprod": f"case when p_partkey % 7 = 0 then null else {PRODUCT['codigo']} end",
+    "prod_xprod": f"case when p_partkey % 5 = 0 then null when p_partkey % 11 = 0 then ' --- ' else {PRODUCT['descricao']} end",
+    "prod_ncm": PRODUCT["ncm"],
+    "prod_qcom": "case p_partkey % 3 when 0 then 'x' when 1 then '1,5' else cast(p_size as string) end",
+    "prod_vprod": "case when p_partkey % 2 = 0 then '' else '12.25' end",
+    "dhemi": "case p_partkey % 4 when 0 then 'ontem' when 1 then '2001-02-30' when 2 then null else '2001-03-04 05:06:07' end",
+}
+
+
+def dirty_source(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"nfe": table(spark, sf_dir, "part").select(*columns(DIRTY))}
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     """The raw tables; documents are of one kind or the other by their item."""
     sold = documents(spark, sf_dir)
