@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -39,6 +40,15 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _with_room(values: np.ndarray, size: int) -> np.ndarray:
+    """The same values in an array of at least ``size``; it doubles when it has to grow."""
+    if len(values) >= size:
+        return values
+    out = np.zeros(max(size, 2 * len(values)), dtype=values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 class WordTokenizer:
     """``spaced``: a word takes one space before it along, and other white space is tokens, too."""
 
@@ -55,8 +65,9 @@ class WordTokenizer:
         self.mask = 4 * MAX_WORDS - 1
         self.keys = np.zeros(self.mask + 1, dtype=np.uint64)
         self.index = np.zeros(self.mask + 1, dtype=np.int32)
-        self.starts, self.pool = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
-        self.text_starts, self.text = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+        # Ids and bytes of the known words, one after the other; what is filled ends at the last start.
+        self.known, self.starts, self.text_starts = 0, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.pool, self.text = np.zeros(0, dtype=np.uint32), np.zeros(8, dtype=np.uint8)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and the first id of each row (rows + 1)."""
@@ -70,7 +81,7 @@ class WordTokenizer:
 
     def _encode_units(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units, and how many each has."""
-        if len(self.starts) > MAX_WORDS:
+        if self.known >= MAX_WORDS:
             self._reset()
         folded = data if self.spaced else LOWER[data]
         short = np.flatnonzero(end - start <= LANE_BYTES)
@@ -84,10 +95,14 @@ class WordTokenizer:
         at = np.full(len(start), -1, dtype=np.int64)
         at[short] = np.where(self._same(folded, start[short], end[short], found), found, -1)
         alone = np.flatnonzero(at < 0)
-        first, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        first = self.starts[at]
+        sizes = self.starts[at + 1] - first
         extra, sizes[alone] = self._library_ids(data, start[alone], end[alone])
-        first[alone] = len(self.pool) + np.cumsum(sizes[alone]) - sizes[alone]
-        pool = np.concatenate([self.pool, extra]) if len(alone) else self.pool
+        pooled = int(self.starts[self.known])
+        first[alone] = pooled + np.cumsum(sizes[alone]) - sizes[alone]
+        self.pool = _with_room(self.pool, pooled + len(extra))
+        self.pool[pooled : pooled + len(extra)] = extra
+        pool = self.pool
         ends = np.cumsum(sizes)
         return pool[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])], sizes
 
@@ -96,13 +111,13 @@ class WordTokenizer:
         texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
         found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
 
     def _same(self, folded: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether each unit has the bytes of the word at its place in the table."""
         size, stored = end - start, self.text_starts[at]
         same = self.text_starts[at + 1] - stored == size
-        own, known = lanes(folded), lanes(self.text)
+        own, known = lanes(folded), lanes(self.text, padded=True)
         live, k = np.flatnonzero(same), 0
         while len(live):
             live = live[size[live] > 8 * k]
@@ -193,14 +208,19 @@ class WordTokenizer:
         fresh, at = np.unique(names[missing], return_index=True)
         start, end = start[missing[at]], end[missing[at]]
         ids, sizes = self._library_ids(data, start, end)
-        value = np.arange(len(fresh), dtype=np.int32) + np.int32(len(self.starts) - 1)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.pool = np.concatenate([self.pool, ids])
+        value = np.arange(self.known, self.known + len(fresh), dtype=np.int32)
         letters = end - start
         ends = np.cumsum(letters)
         own = folded[np.repeat(start - ends + letters, letters) + np.arange(ends[-1])]
-        self.text_starts = np.concatenate([self.text_starts, self.text_starts[-1] + ends])
-        self.text = np.concatenate([self.text, own])
+        for name, bounds, added, sums in (("pool", "starts", ids, np.cumsum(sizes)), ("text", "text_starts", own, ends)):
+            starts = _with_room(getattr(self, bounds), self.known + 1 + len(fresh))
+            filled = int(starts[self.known])
+            starts[self.known + 1 : self.known + 1 + len(fresh)] = filled + sums
+            values = _with_room(getattr(self, name), filled + len(added) + 8)
+            values[filled : filled + len(added)] = added
+            setattr(self, bounds, starts)
+            setattr(self, name, values)
+        self.known += len(fresh)
         slot = (fresh & np.uint64(self.mask)).astype(np.int64)
         while len(fresh):
             free = self.keys[slot] == 0

@@ -47,10 +47,12 @@ LANE_BYTES = 64
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def lanes(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one number; behind the end there are zeros."""
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+def lanes(data: np.ndarray, padded: bool = False) -> np.ndarray:
+    """The eight bytes from each place on as one number. ``padded``: the last
+    eight bytes are there only for that; else zeros follow the end."""
+    if not padded:
+        data = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
 
 
 def lane(numbers: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
