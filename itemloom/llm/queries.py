@@ -154,10 +154,15 @@ WITH texts AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
   UNION ALL
   SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM benchmark
+), lengths AS (
+  SELECT 5 AS m UNION SELECT len(w) FROM texts WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4
 ), shingles AS (
   SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
                                         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-  FROM texts
+  FROM texts WHERE kind = 'i'
+  UNION ALL
+  SELECT DISTINCT kind, id, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS s
+  FROM texts, lengths WHERE kind = 'd' AND len(w) >= m
 ), items AS (
   SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE kind = 'i'
 )

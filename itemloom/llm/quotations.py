@@ -49,6 +49,11 @@ def last_before(events: DataFrame, keys: list[str], value: str) -> DataFrame:
     return found.select(*keys, "turn", F.coalesce("near", "before").alias("last"))
 
 
+def _plain(c: Column) -> Column:
+    """Text in which nothing reads as markup: ``&`` and ``<|`` are written as entities."""
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<|"), F.lit("&lt;|"))
+
+
 def linked_conversations(messages: DataFrame) -> DataFrame:
     """Messages without quoted lines, linked to the message that they reply to.
 
@@ -64,7 +69,8 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     A message that quotes starts a branch, and others go on with the branch of
     the turn before. Returns conv_id, turn, role, text (unquoted lines), reply_to,
     branch (turn that began it), thread (first branch above it), depth (branches
-    above it), n_quoted, n_linked and chat (the message in chat markup). Ordered
+    above it), n_quoted, n_linked and chat (the message in chat markup,
+    ``&`` and ``<|`` of role and text escaped). Ordered
     by conv_id, thread, branch and turn the rows are the reply-ordered
     conversations; they are not put together here, as one may be of any length.
     """
@@ -118,7 +124,7 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     unquoted = F.array_join(F.transform(F.filter(parts, lambda s: s["level"] == 0), lambda s: s["line"]), "\n")
     text = F.when(F.col("text").isNull(), F.lit("")).otherwise(F.trim(F.regexp_replace(unquoted, r"\n{3,}", "\n\n")))
     formed = rows.select("conv_id", "turn", "role", text.alias("text"), F.size(F.filter(parts, lambda s: s["level"] > 0)).alias("n_quoted"))
-    chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("text"), F.lit("\n"))
+    chat = F.concat(F.lit("<|"), _plain(F.coalesce("role", F.lit("user"))), F.lit("|>\n"), _plain(F.col("text")), F.lit("\n"))
     return formed.join(named, ["conv_id", "turn"]).select(
         "conv_id", "turn", "role", "text", F.coalesce("quotes", "previous").alias("reply_to"), "branch", "thread", "depth",
         "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), chat.alias("chat"),
