@@ -158,6 +158,10 @@ def _mode(kind: str) -> Column:
     return F.min(F.when(F.col("kind") == kind, key))["value"]
 
 
+def _list(kind: str) -> Column:
+    return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
+
+
 def _of_kind(kind: str) -> Column:
     """The sorted values of one kind, out of ``listed``."""
     return F.transform(F.filter("listed", lambda x: x["kind"] == kind), lambda x: x["value"])
@@ -177,13 +181,15 @@ def product_keys(index: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def code_rows(codes: DataFrame) -> DataFrame:
     """Entries of each group's code lists, original and split, and what ranks the code."""
-    code = F.struct(code_key().alias("key"), F.coalesce("codigo_desagregado", "codigo").alias("final"))
-    # A split code has one description, as has a code that was not split.
-    entries = F.array(
-        F.struct(F.lit("entry").alias("kind"), code_entry(F.col("codigo"), F.col("qtd_descricoes_diferentes")).alias("value"), code.alias("code")),
-        F.struct(F.lit("final_entry").alias("kind"), code_entry(F.coalesce("codigo_desagregado", "codigo"), F.lit(1)).alias("value"), F.lit(None).alias("code")),
+    return codes.select(
+        *GROUP,
+        F.lit("codigo").alias("kind"),
+        F.col("codigo").alias("value"),
+        code_entry(F.col("codigo"), F.col("qtd_descricoes_diferentes")).alias("entry"),
+        # A split code has one description, as has a code that was not split.
+        code_entry(F.coalesce("codigo_desagregado", "codigo"), F.lit(1)).alias("final_entry"),
+        F.struct(code_key().alias("key"), F.coalesce("codigo_desagregado", "codigo").alias("final")).alias("code"),
     )
-    return codes.select(*GROUP, F.inline(entries))
 
 
 #: List column of each kind of value.
@@ -194,21 +200,19 @@ LIST_COLUMNS = {
 }
 
 
-def _group_rows(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFrame:
-    return (
-        _attribute_rows(evidence, GROUP)
-        .unionByName(code_rows(codes), allowMissingColumns=True)
-        .unionByName(product_keys(index, GROUP), allowMissingColumns=True)
-    )
-
-
 def list_rows(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFrame:
     """The lists of all groups in long form: (cnpj, descricao_normalizada, lista,
     valor), each value once. A group of any number of values is many rows, in as
     many tasks as they take; the list columns of the group tables are a view of it."""
     names = F.create_map(*[F.lit(x) for pair in LIST_COLUMNS.items() for x in pair])
-    rows = _group_rows(evidence, codes, index).where(F.col("kind").isin(list(LIST_COLUMNS)))
-    return rows.select(*GROUP, names[F.col("kind")].alias("lista"), F.col("value").alias("valor"))
+    entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("entry", "final_entry")])
+    rows = (
+        _attribute_rows(evidence, GROUP).select(*GROUP, "kind", "value")
+        .unionByName(code_rows(codes).select(*GROUP, F.inline(entries)))
+        .unionByName(product_keys(index, GROUP))
+    )
+    known = rows.where(F.col("kind").isin(list(LIST_COLUMNS)))
+    return known.select(*GROUP, names[F.col("kind")].alias("lista"), F.col("value").alias("valor"))
 
 
 #: Values of one segment of a stored list.
@@ -238,18 +242,34 @@ def whole_lists(segments: DataFrame) -> DataFrame:
 def grouped(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFrame:
     """One row per group with its lists, modes and representative code, both
     with original and with split codes."""
-    modes = {"descricao": "descricao", "tipo_item": "tipo_item_padrao", "ncm": "NCM_padrao", "cest": "CEST_padrao", "gtin": "GTIN_padrao", "co_sefin": "co_sefin_inferido"}
+    rows = (
+        _attribute_rows(evidence, GROUP)
+        .unionByName(code_rows(codes), allowMissingColumns=True)
+        .unionByName(product_keys(index, GROUP), allowMissingColumns=True)
+    )
     return (
-        _group_rows(evidence, codes, index)
-        .groupBy(*GROUP)
+        rows.groupBy(*GROUP)
         .agg(
-            *[_mode(kind).alias(name) for kind, name in modes.items()],
+            _mode("descricao").alias("descricao"),
             F.min("code").alias("code"),
-            F.count(F.when(F.col("kind") == "entry", 1)).alias("qtd_codigos"),
-            (F.count(F.when(F.col("kind") == "co_sefin", 1)) > 1).alias("conflito_co_sefin"),
-            _listed(),
+            F.count("entry").alias("qtd_codigos"),
+            F.array_sort(F.collect_list("entry")).alias("lista_codigos"),
+            F.array_sort(F.collect_list("final_entry")).alias("lista_codigos_final"),
+            _list("tipo_item").alias("lista_tipo_item"),
+            _list("ncm").alias("lista_ncm"),
+            _list("cest").alias("lista_cest"),
+            _list("gtin").alias("lista_gtin"),
+            _list("unid").alias("lista_unid"),
+            _mode("tipo_item").alias("tipo_item_padrao"),
+            _mode("ncm").alias("NCM_padrao"),
+            _mode("cest").alias("CEST_padrao"),
+            _mode("gtin").alias("GTIN_padrao"),
+            _list("fonte").alias("lista_fontes"),
+            _list("descricao").alias("lista_descricoes"),
+            _list("chave").alias("lista_chaves_produto"),
+            _mode("co_sefin").alias("co_sefin_inferido"),
+            F.coalesce(F.count(F.when(F.col("kind") == "co_sefin", 1)) > 1, F.lit(False)).alias("conflito_co_sefin"),
         )
-        .withColumns({column: _of_kind(kind) for kind, column in LIST_COLUMNS.items()})
         .withColumns(
             {
                 "codigo_padrao": F.col("code.key.codigo"),
@@ -259,7 +279,7 @@ def grouped(evidence: DataFrame, codes: DataFrame, index: DataFrame) -> DataFram
                 "verificado": F.lit(False),
             }
         )
-        .drop("code", "listed")
+        .drop("code")
     )
 
 
