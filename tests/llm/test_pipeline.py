@@ -93,5 +93,6 @@ def test_registered(spark):
     assert [n for n in names if n.startswith("op")] == [
         "op1_language_id", "op2_packing", "op3_licence_scan", "op4_chat_formatting", "op5_substring_dedup", "op6_token_files",
         "op7_decontamination", "op8_toxicity", "op9_near_dedup", "op10_fingerprints",
+        "op11_bpe", "op12_spelling", "op13_conversation_repair",
     ]
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names) and F
