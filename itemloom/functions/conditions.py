@@ -89,9 +89,15 @@ def _relation(raw: Column, data_type: T.DataType, operator: str, number: float)
     return compare(raw, F.lit(value).cast(data_type))
 
 
+def column_text(name: str, data_type: T.DataType) -> Column:
+    """A column as the text that conditions compare."""
+    raw = F.col(f"`{name}`")
+    return list_text(raw) if isinstance(data_type, T.ArrayType) else plain_text(raw, data_type)
+
+
 def compile_condition(cond: Condition, data_type: T.DataType) -> Column:
     raw = F.col(f"`{cond.column}`")
-    as_text = list_text(raw) if isinstance(data_type, T.ArrayType) else plain_text(raw, data_type)
+    as_text = column_text(cond.column, data_type)
     text = F.coalesce(as_text, F.lit(""))
     value = cond.value or ""
     match cond.operator:
