@@ -29,6 +29,7 @@ from ..operators.report import display_cells, export_view, html_report, html_row
 from ..sources.layouts import canonical_items
 from ..sources.reader import catalogue, extract_all, extract_counts, load_dataset, load_if_exists, query
 from ..sources.schemas import PRODUCT_KEYS
+from ..sources.text_index import build_text_index, load_matching
 from ..sources.writer import append_log, compact, editable_table, save_dataset, save_version, staging_dir, version_log
 from . import standins as s
 from .consolidation import Consolidation
@@ -462,6 +463,16 @@ def filter_text(spark, sf_dir):
     return apply_conditions(df, [Condition("text", CONTAINS, "On THE"), Condition("source", STARTS, "SRC1")])
 
 
+@registered
+def filter_text_indexed(spark, sf_dir):
+    df = s.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    folder = f"{staging_dir(spark)}/itemloom/indexed-{uuid.uuid4().hex}"
+    df.repartitionByRange("source", "doc_id").write.parquet(f"{folder}/table")
+    build_text_index(spark, f"{folder}/table", ["text", "source"], f"{folder}/index")
+    wanted = [Condition("text", CONTAINS, "On THE"), Condition("source", CONTAINS, "rc1")]
+    return load_matching(spark, f"{folder}/table", f"{folder}/index", wanted)
+
+
 @registered
 def filter_equal(spark, sf_dir):
     df = s.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")

@@ -610,6 +610,8 @@ from (select cnpj, desag, {_joined("tipo_item")} as lista_tipo_item, {_joined("n
         "annual_sums_pivot": _with([ITEMS, CLEAN, SUMS, PIVOT], "select * from pivoted"),
         "filter_text": "select doc_id, lang, source, text from documents"
         " where contains(lower(text), 'on the') and starts_with(lower(source), 'src1')",
+        "filter_text_indexed": "select doc_id, lang, source, text from documents"
+        " where contains(lower(text), 'on the') and contains(lower(source), 'rc1')",
         "filter_equal": "select doc_id, lang, source from documents where lang = 'fr' and lower(source) like '%c2'",
         "filter_numeric": "select l_orderkey, l_linenumber, l_quantity, l_discount from lineitem"
         " where l_discount > 0.05::double and l_quantity <= 25",
