@@ -5,9 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from itemloom.operators import extract as e
+from itemloom.operators import extract as e, scale
+from itemloom.plans import catalog, standins as s
 from itemloom.sources.reader import extract_all, extract_counts, load_dataset, query
 from itemloom.functions.conditions import Condition
+from itemloom.sources.writer import stage
 
 T = dt.datetime
 
@@ -93,6 +95,40 @@ def test_fiscal_items(spark):
     assert rows[1].chv_nfe == "key" and rows[1].periodo_efd == "2024/01" and rows[1].qtd == 0 and rows[1].vl_item is None
 
 
+def test_fiscal_items_are_joined_twice(spark, sf_dir):
+    """With their documents and with their products; what is left out leaves there, without joins of its own."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [t.cache() for t in (s.fiscal_documents(spark, sf_dir), s.fiscal_lines(spark, sf_dir))]
+        found = e.fiscal_items(s.filings(spark, sf_dir), *tables, s.filing_products(spark, sf_dir).cache(), s.CUTOFF)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        outside = [line for line in plan.splitlines() if "Join " in line and "InMemory" not in line]
+        assert len([line for line in outside if "reg_" in line]) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.catalog.clearCache()
+
+
+def test_products_are_dealt_by_their_key(spark, sf_dir):
+    found = s.filing_products(spark, sf_dir)
+    assert found.count() == found.distinct().count()
+    assert "RepartitionByExpression [reg_0000_id" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["fiscal_order", "inventory_order"])
+def test_order_stages_keys_alone(spark, sf_dir, name, monkeypatch):
+    staged = {}
+
+    def kept(df, name, by=()):
+        staged[name] = [c for c in df.columns if not c.startswith("__")]
+        return stage(df, name, by)
+
+    monkeypatch.setattr(scale, "stage", kept)
+    found = catalog.QUERIES[name](spark, sf_dir)
+    assert staged["order"] == [c for c in found.columns if c not in ("primeira", "linhas")]
+
+
 def test_inventory(spark):
     h005 = spark.createDataFrame([(1, 3, "31122023", "10.5", "01"), (2, 3, "30112023", None, "99"), (3, 2, "31122023", "1", "01")],
         "id bigint, reg_0000_id bigint, dt_inv string, vl_inv string, mot_inv string")
