@@ -176,6 +176,25 @@ def test_classify(spark):
     assert i.classify(df).where("co_sefin_inferido is not null").count() == 0
 
 
+def test_sums_are_not_split_by_texts(spark):
+    """Profiles have no texts but the description, and variants no sums, so neither is as large as the items."""
+    rows = [item(f"c{k}", "tinta", ncm=str(k), data_mov=DAY[1 + k % 9], qtd=0.1, valor=1e-12) for k in range(30)]
+    items = spark.createDataFrame(rows + [item("c0", "tinta", ncm="0", valor=1e19)], ITEMS)
+    dated = {r.ano: r for r in i.profiles(items).collect()}
+    assert len(dated) == 2 and i.variants(items).count() == 30
+    assert float(dated[2023].qtd_exata) == 3.0 and dated[2023].valor_resto == pytest.approx(3e-11) and dated[None].valor_resto == 1e19
+    assert {r.codigo: r.n for r in i.variants(items).where("codigo in ('c0', 'c1')").collect()} == {"c0": 2, "c1": 1}
+
+
+def test_classify_reads_its_items_once(spark):
+    """They and the pairs of codes are staged; before, each reader of them worked them out again."""
+    df = spark.range(40).selectExpr("cast(id % 3 + 1234567 as string) as cest_limpo", "'12345678' as ncm_limpo", "uuid() as made")
+    got = i.classify(df, *[spark.createDataFrame(*t) for t in REFERENCE_ROWS])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "Range (" not in plan
+    assert {r.made for r in got.collect()} == {r.made for r in got.collect()}
+
+
 def test_duplicate_reference_keys(spark):
     rows, schema = REFERENCE_ROWS[2]
     doubled = spark.createDataFrame(rows + [("12345678 ", "T0")], schema)
