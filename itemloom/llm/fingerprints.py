@@ -29,6 +29,12 @@ HEAD, CUT, LONGEST = ((8, 2), (16, 4), (32, 8)), 16, 64
 #: are the whole text. A very long word is several.
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
 WORD = rf"[^\S\n]*(?:[{_ALONE}]|[^\s{_ALONE}]{{1,32}})|[^\S\n]+|\n"
+#: The same words, found faster: scripts are looked up for characters from U+0E00
+#: on only, as those below belong to none of these, and nothing is tried twice.
+_WORD = (
+    rf"[ \t\x0B\f\r]*+(?:[\x00-\x08\x0E-\x1F!-\x{{DFF}}[^\s{_ALONE}]]{{1,32}}+|[\x{{E00}}-\x{{10FFFF}}&&[{_ALONE}]])"
+    r"|[ \t\x0B\f\r]++|\n"
+)
 
 
 def _let(value: Column, use) -> Column:
@@ -82,24 +88,24 @@ def paragraph_digests(text: Column) -> Column:
         copies = lambda p, n: F.transform(F.sequence(F.lit(1), n), lambda j: F.xxhash64(F.get(own, p), j))
         return F.sort_array(F.flatten(_per_run(own, lambda d: d, copies)))
 
-    return _let(_let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), paragraphs), numbered)
+    return _let(_let(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), paragraphs), numbered)
 
 
 def level(digest: Column) -> Column:
     """Level of a digest in a fingerprint: half of all are in level 0, a quarter in 1, ..."""
-    h = F.xxhash64(digest, F.lit(7))
-    return F.least(F.bit_count(h.bitwiseAND(-h) - 1), F.lit(LEVELS - 1))
+    lowest = lambda h: F.least(F.bit_count(h.bitwiseAND(-h) - 1), F.lit(LEVELS - 1))
+    return _let(F.xxhash64(digest, F.lit(7)), lowest)
 
 
-def _in_levels(digest: Column) -> list[Column]:
+def _in_levels(digest: Column) -> Column:
     """Cells of a digest in a fingerprint."""
-    first = level(digest) * (3 * CELLS)
-    return [(first + t * CELLS + F.pmod(F.xxhash64(digest, F.lit(1000 + t)), F.lit(CELLS))).cast("long") for t in range(3)]
+    place = lambda first, t: (first + t * CELLS + F.pmod(F.xxhash64(digest, F.lit(1000 + t)), F.lit(CELLS))).cast("long")
+    return _let(level(digest) * (3 * CELLS), lambda first: F.array(*[place(first, t) for t in range(3)]))
 
 
 def _in_table(cells: Column, seed: int):
     """Cells of a digest in one large table of three subtables."""
-    return lambda digest: [t * cells + F.pmod(F.xxhash64(digest, F.lit(seed + t)), cells) for t in range(3)]
+    return lambda digest: F.array(*[t * cells + F.pmod(F.xxhash64(digest, F.lit(seed + t)), cells) for t in range(3)])
 
 
 def _check(digest: Column) -> Column:
@@ -108,10 +114,8 @@ def _check(digest: Column) -> Column:
 
 def _entries(digests: Column, n: Column, places) -> Column:
     def three(d: Column) -> Column:
-        return _let(
-            F.struct(d.alias("key"), _check(d).alias("check")),
-            lambda e: F.array(*[F.struct(at.alias("at"), n.alias("n"), e["key"].alias("key"), e["check"].alias("check")) for at in places(e["key"])]),
-        )
+        entry = lambda at, check: F.struct(at.alias("at"), n.alias("n"), d.alias("key"), check.alias("check"))
+        return _let(_check(d), lambda check: F.transform(places(d), lambda at: entry(at, check)))
 
     return F.flatten(F.transform(digests, three))
 
@@ -129,7 +133,18 @@ def _cells(entries: Column) -> Column:
         )
 
     def added(s: Column) -> Column:
-        return _per_run(s, lambda e: e["at"], lambda p, n: F.aggregate(F.slice(s, p + 1, n), zero, add))
+        def sums(starts: Column) -> Column:
+            def run(p: Column, k: Column) -> Column:
+                return F.when(F.get(starts, k + 1) == p + 1, F.get(s, p)).otherwise(
+                    F.aggregate(F.slice(s, p + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - p), zero, add)
+                )
+
+            return F.transform(starts, run)
+
+        def starts(at: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: (i == 0) | (F.get(at, i) != F.get(at, i - 1)))
+
+        return F.when(F.size(s) > 0, _let(_let(s["at"], starts), sums)).otherwise(s)
 
     return F.filter(_let(F.sort_array(entries), added), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
 
@@ -175,21 +190,38 @@ def _whole(peeled: Column) -> Column:
     return _let(peeled, lambda s: F.when(F.size(s["cells"]) == 0, F.struct(s["only_a"].alias("only_a"), s["only_b"].alias("only_b"))))
 
 
+def _failed(peeled: Column) -> Column:
+    """The highest level of two fingerprints that is not recovered, or -1."""
+    return F.coalesce(F.array_max(F.transform(peeled["cells"], lambda c: F.floor(c["at"] / (3 * CELLS)))), F.lit(-1))
+
+
 def differing(a: Column, b: Column, peeled: Column) -> Column:
     """struct<only_a, only_b> of the digests of two documents.
 
     ``peeled`` is what their fingerprints gave. Where that is not all, one
-    larger table after the other is made. NULL if the last one fails, too.
+    larger table after the other is made of the digests in the levels up to the
+    last one that is not recovered, without those that are. NULL if the last
+    one fails, too.
     """
 
-    def table(times: float, seed: int) -> Column:
-        def recovered(cells: Column) -> Column:
-            places = _in_table(cells, seed)
-            return _whole(peel(_cells(F.concat(_entries(a, F.lit(1), places), _entries(b, F.lit(-1), places))), places))
+    def larger(rest: Column) -> Column:
+        def table(times: float, seed: int) -> Column:
+            def recovered(cells: Column) -> Column:
+                places = _in_table(cells, seed)
+                return _whole(peel(_cells(F.concat(_entries(rest["a"], F.lit(1), places), _entries(rest["b"], F.lit(-1), places))), places))
+
+            return _let((F.ceil((F.size(rest["a"]) + F.size(rest["b"])) * F.lit(times)) + 16).cast("long"), recovered)
+
+        both = lambda more: F.when(
+            more.isNotNull(), F.struct(*[F.concat(peeled[s], more[s]).alias(s) for s in ("only_a", "only_b")])
+        )
+        return _let(F.coalesce(*[table(times, 2000 + 10 * k) for k, times in enumerate(TRIES)]), both)
 
-        return _let((F.ceil((F.size(a) + F.size(b)) * F.lit(times)) + 16).cast("long"), recovered)
+    def rest(failed: Column) -> Column:
+        left = lambda own, found: F.filter(F.array_except(own, found), lambda d: level(d) <= failed)
+        return F.struct(left(a, peeled["only_a"]).alias("a"), left(b, peeled["only_b"]).alias("b"))
 
-    return F.coalesce(_whole(peeled), *[table(times, 2000 + 10 * k) for k, times in enumerate(TRIES)])
+    return F.coalesce(_whole(peeled), _let(_let(_failed(peeled), rest), larger))
 
 
 def likeness(a: Column, b: Column, peeled: Column) -> Column:
@@ -212,8 +244,7 @@ def likeness(a: Column, b: Column, peeled: Column) -> Column:
             .otherwise(cells),
         )
 
-    failed = F.array_max(F.transform(peeled["cells"], lambda c: F.floor(c["at"] / (3 * CELLS))))
-    return _let(F.coalesce(failed + 1, F.lit(0)), share)
+    return _let(_failed(peeled) + 1, share)
 
 
 def as_text(cells: Column) -> Column:
@@ -257,16 +288,18 @@ def fingerprints(docs: DataFrame, recover: Sequence[str] = ("edited",)) -> DataF
     near_edited and near_next (functions of the two fingerprints alone), and for
     each of ``recover`` ("edited", "next") the digests that differ, with larger
     tables where the fingerprints do not give all (edited_difference,
-    next_difference). Texts are shuffled by doc_id once; what goes to the
-    document before is a quarter of its length and its digests.
+    next_difference). Texts and their digests are shuffled by doc_id once; what
+    goes to the document before is a quarter of its length and the digests.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # Digests go along with the texts in the one shuffle of them, for a document itself and for the one before.
+    docs = docs.withColumn("digests", paragraph_digests(F.col("text")))
     before = _next_ids(docs).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("previous"), F.col("n_chars").alias("n_previous"))
     sent = docs.join(before.hint("shuffle_hash"), "doc_id").select(
         F.col("previous").alias("doc_id"),
         F.struct(
             F.substring("text", F.lit(1), F.floor(F.col("n_previous") / 4).cast("int")).alias("head"),
-            paragraph_digests(F.col("text")).alias("digests"),
+            F.col("digests"),
         ).alias("next"),
     )
     sent = sent.groupBy("doc_id").agg(F.min("next").alias("next"))
@@ -276,9 +309,8 @@ def fingerprints(docs: DataFrame, recover: Sequence[str] = ("edited",)) -> DataF
 
     rows = docs.join(sent.hint("shuffle_hash"), "doc_id")
     rows = _worked_out(rows, edited=edited).withColumn("n_chars", n.cast("long"))
-    rows = _worked_out(
-        rows, own=paragraph_digests(F.col("text")), other=paragraph_digests(F.col("edited")), following=F.col("next.digests")
-    ).drop("text", "next")
+    sets = {"own": F.col("digests"), "other": paragraph_digests(F.col("edited")), "following": F.col("next.digests")}
+    rows = _worked_out(rows, **sets).drop("text", "next", "digests")
     rows = _worked_out(rows, **{f"cells_{c}": sketch(F.col(c)) for c in ("own", "other", "following")})
     sides = {"edited": "other", "next": "following"}
     own = F.col("cells_own")

@@ -72,7 +72,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints(documents(spark, sf_dir))
     digest = F.sha2("edited", 256).alias("edited_sha256")
-    return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    # How many digests are recovered on either side, null where some are not.
+    recovered = [F.size(f"edited_difference.only_{side}").cast("long").alias(name) for side, name in (("a", "n_only_text"), ("b", "n_only_edited"))]
+    return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next", *recovered)
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

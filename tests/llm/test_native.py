@@ -133,6 +133,20 @@ def test_fingerprints_of_special_rows(table):
     assert fingerprints(table([])).collect() == []
 
 
+def test_fingerprint_query_counts_recovered_digests(table, tmp_path):
+    """The query asks for the digests that differ, so also for the larger tables where the fingerprints are too small."""
+    lines = "\n".join(f"line {k}" for k in range(600))
+    pairs = [(1, lines), (2, "\n".join(f"other {k}" for k in range(300))), (3, "漢字 a\n\x0b\x1f b\u0e01\u0dffc" * 20), (4, None)]
+    table(pairs).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op10_fingerprints(table([]).sparkSession, str(tmp_path)).collect()}
+    texts = [t or "" for _, t in pairs]
+    for k, (i, _) in enumerate(pairs):
+        n = len(texts[k])
+        a, b = paragraphs(texts[k]), paragraphs(texts[k][: n - n // 4] + texts[(k + 1) % len(pairs)][: n // 4])
+        assert (found[i]["n_only_text"], found[i]["n_only_edited"]) == (len(a - b), len(b - a))
+    assert found[1]["n_only_text"] > 100
+
+
 def test_fingerprint_of_one_long_line(table):
     """Where no line break is, an edited text is still told from a stranger; likeness comes from the fingerprints alone."""
     text = " ".join(f"word{k * 7919 % 5000}" for k in range(4000))
