@@ -29,12 +29,27 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return width - over
 
 
+def _selectors(width: np.ndarray, block: int) -> np.ndarray:
+    """The selector with the most values that fit, for a word that starts at each place of each block."""
+    chosen = np.full((len(width), block), len(LAYOUT) - 1, dtype=np.uint8)
+    # Largest width among as many values as a word holds, from each place on: out of the largest of fewer.
+    largest, held = width, 1
+    for selector in range(len(LAYOUT) - 2, -1, -1):
+        count, bits = LAYOUT[selector]
+        while held < count:
+            step = min(held, count - held)
+            largest = np.maximum(largest[:, : largest.shape[1] - step], largest[:, step:])
+            held += step
+        chosen[largest[:, :block] <= bits] = selector
+    return chosen
+
+
 def encode(values: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each block, escapes as rows of place and value).
 
-    Blocks of ``block`` values are packed side by side: one step places one word
-    in every block that has values left. A word takes the selector with the most
-    values that fit; the last word of a block is filled with zeros.
+    Blocks of ``block`` values are packed side by side: one step finds the place
+    of one word in every block that has values left. A word takes the selector
+    with the most values that fit; the last word of a block is filled with zeros.
     """
     values = values.astype(np.uint64)
     out = np.flatnonzero(values >= LIMIT)
@@ -47,42 +62,29 @@ def encode(values: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray
     flat = np.zeros(blocks * block, dtype=np.uint64)
     flat[:n] = values
     padded[:, :block] = flat.reshape(blocks, block)
-    width = _widths(padded)
-    # reach[b] at a place: how many values from there on need at most b bits.
-    levels = np.unique(BITS)
-    reach = np.zeros((len(levels), blocks, block + 1), dtype=np.int16)
-    at = np.arange(block + 240)
-    for k, bits in enumerate(levels):
-        stop = np.where(width > bits, at, block + 240)
-        stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-        reach[k] = (stop - at)[:, : block + 1]
-    level = np.searchsorted(levels, BITS)
+    chosen = _selectors(_widths(padded).astype(np.uint8), block)
     size = np.minimum(block, n - np.arange(blocks) * block)
-    place = np.zeros(blocks, dtype=np.int64)
-    rows, words = [], []
-    while True:
-        live = np.flatnonzero(place < size)
-        if not len(live):
-            break
-        fits = reach[level[:, None], live, place[live]] >= COUNTS[:, None]
-        chosen = fits.argmax(axis=0)  # the first that fits has the most values
-        word = chosen.astype(np.uint64) << np.uint64(60)
-        for selector in np.unique(chosen):
-            own = np.flatnonzero(chosen == selector)
-            count, bits = LAYOUT[selector]
-            if bits:
-                take = padded[live[own][:, None], place[live[own]][:, None] + np.arange(count)]
-                shifts = (np.arange(count) * bits).astype(np.uint64)
-                word[own] |= np.bitwise_or.reduce(take << shifts, axis=1)
+    place, live = np.zeros(blocks, dtype=np.int64), np.arange(blocks)
+    rows, places = [], []
+    while len(live):
         rows.append(live)
-        words.append(word)
-        place[live] += COUNTS[chosen]
+        places.append(place)
+        place = place + COUNTS[chosen[live, place]]
+        more = place < size[live]
+        live, place = live[more], place[more]
     if not rows:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32), escapes
-    rows = np.concatenate(rows)
+    rows, places = np.concatenate(rows), np.concatenate(places)
     order = np.argsort(rows, kind="stable")
-    first = np.searchsorted(rows[order], np.arange(blocks)).astype(np.uint32)
-    return np.concatenate(words)[order], first, escapes
+    rows, places = rows[order], places[order]
+    first = np.searchsorted(rows, np.arange(blocks)).astype(np.uint32)
+    chosen = chosen[rows, places]
+    words = chosen.astype(np.uint64) << np.uint64(60)
+    for selector, (count, bits) in enumerate(LAYOUT):
+        own = np.flatnonzero(chosen == selector) if bits else ()
+        for k in range(count if len(own) else 0):
+            words[own] |= padded[rows[own], places[own] + k] << np.uint64(k * bits)
+    return words, first, escapes
 
 
 def decode(words: np.ndarray, first: np.ndarray, escapes: np.ndarray, n: int, block: int = 512) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Tokens, packing and token files against the tokenizers library."""
 
+import sys
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 from itemloom.llm.packing import best_place, pack_documents
 from itemloom.llm.queries import vocabulary
-from itemloom.llm.simple8b import decode, encode
+from itemloom.llm.simple8b import LAYOUT, decode, encode
 from itemloom.llm.token_files import read_tokens, token_files, write_tokens
 from itemloom.llm.tokens import WordTokenizer
 from itemloom.llm.words import utf8
@@ -89,6 +90,34 @@ def test_simple8b_round_trip(values):
     assert (decode(*encode(values, 64), len(values), 64) == values).all()
 
 
+def test_simple8b_words_hold_the_most_values_that_fit():
+    """Word by word as in a plain loop, over all widths and at the ends of blocks."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.integers(0, 1 << bits, 90, dtype=np.uint64) for bits in (1, 2, 9, 16, 33, 60)] + [np.zeros(700, dtype=np.uint64)])
+    words, first, _ = encode(values)
+    plain, starts = [], []
+    for a in range(0, len(values), 512):
+        rest = values[a : a + 512].tolist()
+        starts.append(len(plain))
+        while rest:
+            selector = next(k for k, (n, bits) in enumerate(LAYOUT) if max(rest[:n]) < 1 << bits)
+            n, bits = LAYOUT[selector]
+            plain.append(sum(v << k * bits for k, v in enumerate(rest[:n] if bits else [])) | selector << 60)
+            rest = rest[n:]
+    assert words.tolist() == plain and first.tolist() == starts
+
+
+def test_simple8b_takes_few_steps():
+    """Words are found side by side and filled together: no step per word and selector."""
+    found = []
+    sys.setprofile(lambda frame, event, arg: found.append(1) if event == "c_call" else None)
+    try:
+        encode(np.random.default_rng(1).integers(0, 1 << 16, 1 << 16, dtype=np.uint64) >> np.uint64(3))
+    finally:
+        sys.setprofile(None)
+    assert len(found) < 2500
+
+
 def test_token_files(spark, table, tmp_path):
     pairs = [(5, "Hello world, it's 2024"), (-3, None), (9, ""), (7, "x y z " * 30_000), (None, "gone"), (6, "naïve — text")]
     library = Tokenizer.from_file(vocabulary(BYTE))
