@@ -81,14 +81,27 @@ def with_hundredths(exact: Column, whole: Column) -> Column:
     )
 
 
-def rest_sum(c: Column) -> Column:
+def rest_sum(c: Column, fine: str | None = None) -> Column:
     """Sum of inexact parts. Small ones are added as decimals of their own, so
-    only numbers too large for a decimal are added in the order they come."""
-    fine = F.when(F.abs(c) < 1, c * _FINE_UNITS).try_cast(_FINE)
-    small, large = F.sum(fine).cast("double") / _FINE_UNITS, F.sum(F.when(fine.isNull(), c))
+    only numbers too large for a decimal are added in the order they come.
+    ``fine`` names a column that holds :func:`fine_part` of them, for numbers that most rows lack."""
+    part = fine_part(c) if fine is None else F.col(fine)
+    total = F.sum(part) if fine is None else present_sum(fine)
+    small, large = total.cast("double") / _FINE_UNITS, F.sum(F.when(part.isNull(), c))
     return F.coalesce(small + large, small, large)
 
 
+def present_sum(name: str) -> Column:
+    """Sum of a column that most rows lack. A filter leaves their totals untouched: a decimal total
+    is otherwise read and written anew for each row, missing number or not."""
+    return F.expr(f"sum(`{name}`) filter (where `{name}` is not null)")
+
+
+def fine_part(c: Column) -> Column:
+    """What :func:`rest_sum` adds as decimals of their own: a number below one, in its smallest units."""
+    return F.when(F.abs(c) < 1, c * _FINE_UNITS).try_cast(_FINE)
+
+
 def exact_sum(c: Column) -> Column:
     """A sum of numbers below 1e18 that no order of addition can change, to 25
     fraction digits; larger numbers are added as doubles. NULL over no numbers."""

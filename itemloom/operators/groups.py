@@ -78,19 +78,16 @@ def evidence(variants: DataFrame) -> DataFrame:
     """
     described = variants.where(F.col("descricao_normalizada").isNotNull())
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in KINDS.items()])
-    kept = F.col("pair.value").isNotNull() & ((F.col("pair.value") != "") | (F.col("pair.kind") == "codigo"))
+    kept = F.col("value").isNotNull() & ((F.col("value") != "") | (F.col("kind") == "codigo"))
+    counted = ["n", "ultima", "score_integridade"]
+    # Select by select: beside the generator, sort keys would be worked out for each value and not for each variant.
     return (
         described.select(
-            *GROUP,
-            F.col("codigo").alias("codigo_item"),
-            F.explode(pairs).alias("pair"),
-            "n",
-            "ultima",
-            "score_integridade",
-            first_seen().alias("first_seen"),
+            *GROUP, F.col("codigo").alias("codigo_item"), pairs.alias("pairs"), *counted, first_seen().alias("first_seen")
         )
+        .select(*GROUP, "codigo_item", F.inline("pairs"), *counted, "first_seen")
         .where(kept)
-        .groupBy(*GROUP, "codigo_item", F.col("pair.kind").alias("kind"), F.col("pair.value").alias("value"))
+        .groupBy(*GROUP, "codigo_item", "kind", "value")
         .agg(
             F.sum("n").alias("freq"),
             F.max("ultima").alias("ultima"),

@@ -11,11 +11,15 @@ classification run on variants, per distinct product and unit, not per item.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.codes import numeric_sort_value, valid_cest, valid_gtin, valid_ncm
 from ..functions.text import normalize_description, normalize_unit, strip
-from ..functions.values import exact_part, hundredths, inexact_part, rest_sum, with_hundredths
+from ..functions.values import (
+    exact_part, fine_part, hundredths, inexact_part, present_sum, rest_sum, with_hundredths,
+)
 from ..sources.schemas import AUDITED_COLUMNS, PRODUCT_KEYS
 from ..sources.writer import stage
 from .scale import hot_key_join, number_within
@@ -67,10 +71,11 @@ def profiles(items: DataFrame) -> DataFrame:
         .withColumns({c: F.when(F.col(f"{c}_whole").isNull(), F.col(c)) for c in exact.values()})
         .withColumns({name: exact_part(F.col(c)) for name, c in exact.items()})
         .withColumns({name: inexact_part(F.col(exact[e]), F.col(e)) for name, e in rest.items()})
+        .withColumns({f"{name}_fine": fine_part(F.col(name)) for name in rest})
     )
     return dated.groupBy(*PROFILE_KEYS).agg(
-        *[with_hundredths(F.sum(name), F.sum(f"{c}_whole")).alias(name) for name, c in exact.items()],
-        *[rest_sum(F.col(c)).alias(c) for c in rest],
+        *[with_hundredths(present_sum(name), F.sum(f"{c}_whole")).alias(name) for name, c in exact.items()],
+        *[rest_sum(F.col(c), f"{c}_fine").alias(c) for c in rest],
     )
 
 
@@ -104,13 +109,15 @@ def classify(
     cest: DataFrame | None = None,
     ncm: DataFrame | None = None,
     duplicates: str = "error",
+    keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None,
 ) -> DataFrame:
     """Add the inferred goods class: by CEST and NCM, else CEST, else NCM.
 
     An absent reference table is skipped. The distinct pairs of codes are
     classified and joined back, whatever the size of the tables, so no frequent
     or missing code can fill one task. Items and pairs are staged, as both are
-    read more than once.
+    read more than once; ``keep`` gives them a place of its own. The classes are
+    joined to the staged items by each reader, so items are written once.
     """
     both = {"cest_limpo": "it_nu_cest", "ncm_limpo": "it_nu_ncm"}
     given = [
@@ -126,9 +133,11 @@ def classify(
         return items.withColumn("co_sefin_inferido", F.lit(None).cast("string"))
 
     tiers = [(list(keys), reference_table(table, keys, value, duplicates)) for table, keys, value in given]
-    items = stage(items, "cleaned")
+    keep = keep or (lambda name, make: stage(make(), name))
+    given_items = items
+    items = keep("cleaned", lambda: given_items)
     pairs = items.groupBy("cest_limpo", "ncm_limpo").agg(F.count(F.lit(1)).alias("__n"))
-    classes = stage(_first_tier(pairs, tiers), "classes")
+    classes = keep("classes", lambda: _first_tier(pairs, tiers))
     return hot_key_join(items, classes, ["cest_limpo", "ncm_limpo"], ["co_sefin_inferido"], "__n")
 
 

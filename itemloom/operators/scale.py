@@ -87,12 +87,16 @@ def number_within(
     # Each group has at most one piece per partition, so this window is small.
     in_group = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = in_group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select(
-        *prefixed(groups, "__key_"),
-        F.col("__part").alias("__key_part"),
-        "__first",
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
-        F.sum("__rows").over(in_group).alias("__size"),
+    # Staged, so that its size is known: numbered rows are not shuffled to join a small table.
+    starts = stage(
+        pieces.select(
+            *prefixed(groups, "__key_"),
+            F.col("__part").alias("__key_part"),
+            "__first",
+            F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
+            F.sum("__rows").over(in_group).alias("__size"),
+        ),
+        f"{name}-starts",
     )
     on = staged["__part"] == starts["__key_part"]
     if groups:

@@ -42,6 +42,7 @@ class Consolidation:
     ):
         self.items = items
         self.references = references
+        self._place = keep
         self._keep = keep or (lambda name, make: stage(make(), name) if reuse else make())
 
     @cached_property
@@ -51,11 +52,17 @@ class Consolidation:
     @cached_property
     def variants(self) -> DataFrame:
         r = self.references
-        return self._keep("variants", lambda: classify(clean_items(variants(self.items)), r.cest_ncm, r.cest, r.ncm))
+        tables = (r.cest_ncm, r.cest, r.ncm)
+        if all(t is None for t in tables):
+            return self._keep("variants", lambda: classify(clean_items(variants(self.items))))
+        # What classification reads twice is kept; its result is not written once more.
+        cleaned = clean_items(variants(self.items)).drop("codigo_num_sort")
+        return classify(cleaned, *tables, keep=self._place)
 
     @cached_property
     def index(self) -> DataFrame:
-        return self._keep("index", lambda: product_index(self.variants))
+        # Numbered rows are staged already; only a place that outlives the session takes them once more.
+        return self._place("index", lambda: product_index(self.variants)) if self._place else product_index(self.variants)
 
     @cached_property
     def evidence(self) -> DataFrame:

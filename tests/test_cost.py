@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from itemloom.functions.codes import valid_gtin
 from itemloom.functions.text import WHITESPACE, strip, strip_column
 from itemloom.functions.values import exact_part, hundredths, with_hundredths
-from itemloom.operators import groups, items
+from itemloom.operators import groups, items, scale
+from itemloom.plans import catalog, consolidation
 from itemloom.sources.schemas import PRODUCT_KEYS
+from itemloom.sources.writer import stage
 
 
 def plan(df):
@@ -73,3 +75,53 @@ def test_barcodes_of_any_length(spark):
     texts = ["", "x", "0" * 8, "0" * 14, "9" * 40] + ["".join(random.choices("0123456789", k=random.randrange(25))) for _ in range(3000)]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", valid_gtin(F.col("t")).alias("g")).collect()
     assert all(r.g == expected(r.t) for r in found) and any(r.g for r in found)
+
+
+def staged_names(monkeypatch):
+    names = []
+
+    def record(df, name, by=()):
+        names.append(name)
+        return stage(df, name, by)
+
+    for module in (consolidation, items, scale):
+        monkeypatch.setattr(module, "stage", record)
+    return names
+
+
+def test_variants_and_index_are_written_once(spark, sf_dir, monkeypatch):
+    names = staged_names(monkeypatch)
+    job = catalog.job(spark, sf_dir)
+    found = groups.list_rows(job.evidence, job.codes, job.index)
+    assert found.count() and "variants" not in names
+    assert names.count("cleaned") == names.count("index") == names.count("index-starts") == 1
+
+
+def test_what_a_numbering_joins_is_staged(spark, monkeypatch):
+    names = staged_names(monkeypatch)
+    numbered = scale.number_within(spark.range(100), [], [F.col("id").asc()], "n", name="x")
+    assert names == ["x", "x-starts"] and "Window" not in plan(numbered)
+
+
+def test_sort_keys_are_made_before_values_are_dealt_out(spark):
+    kept = ["cnpj", "fonte", "codigo", "descricao", "tipo_item", "unid_padronizada", "ncm_limpo", "cest_limpo", "gtin_limpo", "descricao_normalizada", "co_sefin_inferido"]
+    variants = spark.createDataFrame([], ", ".join(f"{c} string" for c in kept) + ", primeira timestamp_ntz, ultima timestamp_ntz, n long, score_integridade int")
+    lines = plan(groups.evidence(variants)).splitlines()
+    generator = next(k for k, line in enumerate(lines) if "Generate" in line)
+    assert not any("hour(" in line for line in lines[:generator]) and any("hour(" in line for line in lines[generator:])
+
+
+def test_missing_decimals_leave_totals_alone(spark):
+    numbers = [None, 1 / 3, 1e20, 0.25, 2.5, None, 1e-12, 5e300]
+    rows = [("1", "c", f"d{k % 3}", n, "0") for k, n in enumerate(numbers)] + [("1", "c", "whole", 7.25, "0"), ("1", "c", "none", None, "0")]
+    table = spark.createDataFrame(rows, "cnpj string, codigo string, descricao string, qtd double, tipo_operacao string")
+    table = table.withColumn("valor", F.col("qtd")).withColumn("data_mov", F.lit("2001-01-01").cast("timestamp_ntz"))
+    found = items.profiles(table)
+    assert "FILTER (WHERE" in plan(found).upper()
+    exact = F.col("qtd").try_cast("decimal(28,10)")
+    rest = F.when(exact.isNull(), F.col("qtd")).when(F.col("qtd") != exact.cast("double"), F.col("qtd") - exact.cast("double"))
+    plain = table.groupBy("descricao").agg(F.sum(exact).alias("e"), F.sum(rest).alias("r")).collect()
+    got = {r.descricao: r for r in found.collect()}
+    assert {r.descricao: r.e for r in plain} == {d: r.qtd_exata for d, r in got.items()}
+    assert all((r.r is None) == (got[r.descricao].qtd_resto is None) for r in plain)
+    assert all(r.r is None or abs(r.r - got[r.descricao].qtd_resto) <= 1e-12 * abs(r.r) + 1e-24 for r in plain)
