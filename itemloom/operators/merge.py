@@ -212,7 +212,8 @@ def merge_groups(
     table = with_default_description(table)
     # Read for values, totals, classes, the rows that go, and the log.
     rows = stage(selected_rows(table, assignments), "merge-rows")
-    merged = merged_rows(rows, assignments, table, strict)
+    # Read for the rows that go, the table, the log and what is rejected.
+    merged = stage(merged_rows(rows, assignments, table, strict), "merged")
     done = merged.select(*MERGE)
     gone = rows.join(done, MERGE, "left_semi").select("cnpj", "key_norm", "key_desc")
     kept = (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from itemloom.functions.codes import valid_gtin
 from itemloom.functions.text import WHITESPACE, strip, strip_column
 from itemloom.functions.values import exact_part, hundredths, with_hundredths
-from itemloom.operators import groups, items, scale
+from itemloom.operators import groups, items, merge, scale
 from itemloom.plans import catalog, consolidation
 from itemloom.sources.schemas import PRODUCT_KEYS
 from itemloom.sources.writer import stage
@@ -84,7 +84,7 @@ def staged_names(monkeypatch):
         names.append(name)
         return stage(df, name, by)
 
-    for module in (consolidation, items, scale):
+    for module in (consolidation, items, merge, scale):
         monkeypatch.setattr(module, "stage", record)
     return names
 
@@ -125,3 +125,14 @@ def test_missing_decimals_leave_totals_alone(spark):
     assert {r.descricao: r.e for r in plain} == {d: r.qtd_exata for d, r in got.items()}
     assert all((r.r is None) == (got[r.descricao].qtd_resto is None) for r in plain)
     assert all(r.r is None or abs(r.r - got[r.descricao].qtd_resto) <= 1e-12 * abs(r.r) + 1e-24 for r in plain)
+
+
+def test_merged_rows_are_made_once(spark, monkeypatch):
+    names = staged_names(monkeypatch)
+    lists = ["lista_codigos", "lista_tipo_item", "lista_ncm", "lista_cest", "lista_gtin", "lista_unid", "lista_descricoes", "lista_descricoes_normalizadas"]
+    texts = ["cnpj", merge.NORMALIZED, "descricao", "codigo_padrao", "tipo_item_padrao", "NCM_padrao", "CEST_padrao", "GTIN_padrao", "descricao_padrao"]
+    table = spark.createDataFrame([], ", ".join([*(f"`{c}` string" for c in texts), *(f"{c} array<string>" for c in lists), "qtd_codigos long, verificado boolean"]))
+    chosen = spark.createDataFrame([], f"cnpj string, `{merge.NORMALIZED}` string, descricao string, merge_id string, ord long")
+    result = merge.merge_groups(table, chosen, strict=True)
+    assert names == ["merge-rows", "merged"]
+    assert not any("Generate" in plan(df) for df in (result.updated, result.merged, result.log, result.rejected))
