@@ -192,7 +192,13 @@ def natural_key(c: Column) -> Column:
             F.when(has_digits, significant).alias("digits"),
         )
 
-    return F.transform(runs, part)
+    # A number is one run and the empty one at the end; most keys are numbers, and need no search for runs.
+    only_digits = F.ltrim(text, F.lit("0"))
+    number = F.array(
+        F.struct(F.lit("").alias("text"), F.length(only_digits).alias("magnitude"), only_digits.alias("digits")),
+        F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("magnitude"), F.lit(None).cast("string").alias("digits")),
+    )
+    return F.when(text.rlike("^[0-9]+\\z"), number).otherwise(F.transform(runs, part))
 
 
 def natural_sorted(values: Column) -> Column:

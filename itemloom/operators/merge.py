@@ -117,14 +117,53 @@ def _counted_values(rows: DataFrame, lists: list[str], modes: list[str]) -> Data
     )
 
 
-def _union(kind: str, field: str = "value") -> Column:
-    """The values of one kind in natural order, out of ``listed``."""
-    return F.transform(F.filter("listed", lambda x: x["kind"] == kind), lambda x: x[field])
+#: Values of one segment of a list that is being put together, as a power of two.
+SEGMENT_BITS = 10
 
 
-def _most(kind: str) -> Column:
-    rank = F.struct((-F.col("total")).alias("total"), "key", "value")
-    return F.min(F.when(F.col("kind") == kind, rank))["value"]
+def _ordered_lists(counted: DataFrame, of_merge: DataFrame, lists: list[str], modes: list[str]) -> DataFrame:
+    """The lists of each merge in natural order, its most frequent values, its
+    number of codes, and the columns of ``of_merge``, which has a row for each merge.
+
+    Each list is sorted as rows, which can spill, and goes on in segments of plain
+    values: neither sort keys nor single values of a whole merge are held at once.
+    The other columns come in with the segments, so no join copies the wide rows.
+    """
+    of_list = [*MERGE, "kind"]
+    sorted_rows = counted.repartition(*of_list).sortWithinPartitions(*of_list, "key", "value")
+    # All values of a list are in one partition, so ids follow their order.
+    placed = sorted_rows.withColumn("place", F.monotonically_increasing_id())
+    entry = F.when(F.col("kind") == "lista_codigos", code_entry(F.col("value"), F.col("highest"))).otherwise(F.col("value"))
+    listed = F.when(F.col("kind").isin(["lista_codigos", *lists]), F.struct("place", entry.alias("entry")))
+    ranked = F.when(F.col("kind").isin(["lista_codigos", *modes]), F.struct((-F.col("total")).alias("total"), "place", "value"))
+    segments = placed.groupBy(*of_list, F.shiftright("place", SEGMENT_BITS).alias("segment")).agg(
+        F.transform(F.sort_array(F.collect_list(listed)), lambda x: x["entry"]).alias("entries"), F.min(ranked).alias("best")
+    )
+
+    def whole(kind: str) -> Column:
+        of_kind = F.when(F.col("kind") == kind, F.struct("segment", "entries"))
+        return F.flatten(F.transform(F.sort_array(F.collect_list(of_kind)), lambda x: x["entries"]))
+
+    def most(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.col("best")))["value"]
+
+    others = [c for c in of_merge.columns if c not in MERGE]
+    rows = segments.unionByName(of_merge.select(*MERGE, F.struct(*others).alias("other")), allowMissingColumns=True)
+    # With a number given, partitions stay as they are: several merges in one task would be held side by side.
+    partitions = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows.repartition(partitions, *MERGE)
+        .groupBy(*MERGE)
+        .agg(
+            F.first("other", ignorenulls=True).alias("other"),
+            most("lista_codigos").alias("codigo_padrao"),
+            F.coalesce(F.sum(F.when(F.col("kind") == "lista_codigos", F.size("entries"))), F.lit(0)).alias("qtd_codigos"),
+            *[whole(c).alias(c) for c in ("lista_codigos", *lists)],
+            *[most(c).alias(c if c != "descricao" else "mode_descricao") for c in modes],
+        )
+        .select("*", "other.*")
+        .drop("other")
+    )
 
 
 def merged_rows(rows: DataFrame, assignments: DataFrame, schema_of: DataFrame, strict: bool) -> DataFrame:
@@ -134,20 +173,6 @@ def merged_rows(rows: DataFrame, assignments: DataFrame, schema_of: DataFrame, s
     modes = MODES + ([] if strict else [c for c in EXTRA_MODES if c in schema_of.columns])
 
     unions = [*lists, "lista_descricoes_normalizadas"]
-    entry = F.when(F.col("kind") == "lista_codigos", code_entry(F.col("value"), F.col("highest"))).alias("entry")
-    listed = F.when(F.col("kind").isin(["lista_codigos", *unions]), F.struct("kind", "key", "value", entry))
-    values = (
-        _counted_values(rows, lists, modes)
-        .groupBy(*MERGE)
-        .agg(
-            _most("lista_codigos").alias("codigo_padrao"),
-            F.count(F.when(F.col("kind") == "lista_codigos", 1)).alias("qtd_codigos"),
-            F.array_sort(F.collect_list(listed)).alias("listed"),
-            *[_most(c).alias(c if c != "descricao" else "mode_descricao") for c in modes],
-        )
-        .withColumns({"lista_codigos": _union("lista_codigos", "entry"), **{c: _union(c) for c in unions}})
-        .drop("listed")
-    )
     words = word_count(F.col(NORMALIZED))
     longest = F.min(F.when(words > 0, F.struct((-words).alias("words"), "ord", F.col(NORMALIZED).alias("text"))))
     totals = [] if strict else [exact_sum(F.col(f"`{c}`")).alias(c) for c in years]
@@ -157,8 +182,15 @@ def merged_rows(rows: DataFrame, assignments: DataFrame, schema_of: DataFrame, s
         F.min(F.struct("ord", F.struct("descricao", NORMALIZED, "descricao_padrao").alias("row")))["row"].alias("first"),
         *totals,
     )
-    wanted = _given_texts(assignments)
-    joined = per_merge.join(values, MERGE).join(wanted, MERGE, "left")
+    per_merge = per_merge.join(_given_texts(assignments), MERGE, "left")
+    if not strict and "conflito_co_sefin" in schema_of.columns:
+        classes = (
+            rows.groupBy(*MERGE)
+            .agg(F.count_distinct("co_sefin_inferido").alias("c"), F.bool_or("conflito_co_sefin").alias("b"))
+            .select(*MERGE, (F.coalesce("b", F.lit(False)) | (F.col("c") > 1)).alias("conflito_co_sefin"))
+        )
+        per_merge = per_merge.join(classes, MERGE)
+    joined = _ordered_lists(_counted_values(rows, lists, modes), per_merge, unions, modes)
     text = strip(F.coalesce(F.nullif("given", F.lit("")), "mode_descricao", "first.descricao", F.lit("")))
     joined = joined.withColumn("descricao", text)
     normal = normalize_description(F.col("descricao"), APP)
@@ -167,14 +199,7 @@ def merged_rows(rows: DataFrame, assignments: DataFrame, schema_of: DataFrame, s
         "longest", F.nullif("first.descricao_padrao", F.lit("")), f"first.{NORMALIZED}", F.lit("")
     )
     joined = joined.withColumns({NORMALIZED: filled, "descricao_padrao": standard, "verificado": F.lit(False)})
-    if not strict and "conflito_co_sefin" in schema_of.columns:
-        classes = (
-            rows.groupBy(*MERGE)
-            .agg(F.count_distinct("co_sefin_inferido").alias("c"), F.bool_or("conflito_co_sefin").alias("b"))
-            .select(*MERGE, (F.coalesce("b", F.lit(False)) | (F.col("c") > 1)).alias("conflito_co_sefin"))
-        )
-        joined = joined.join(classes, MERGE)
-    valid = joined.where((F.col("n_rows") >= 2) & (F.col("qtd_codigos") > 0))
+    valid = joined.where(F.col("merge_id").isNotNull() & (F.col("n_rows") >= 2) & (F.col("qtd_codigos") > 0))
     columns = [
         F.col(f"`{f.name}`") if f.name in valid.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema_of.schema.fields

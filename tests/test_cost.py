@@ -136,3 +136,32 @@ def test_merged_rows_are_made_once(spark, monkeypatch):
     result = merge.merge_groups(table, chosen, strict=True)
     assert names == ["merge-rows", "merged"]
     assert not any("Generate" in plan(df) for df in (result.updated, result.merged, result.log, result.rejected))
+
+
+def mergeable(spark, rows):
+    lists = ["lista_codigos", "lista_tipo_item", "lista_ncm", "lista_cest", "lista_gtin", "lista_unid", "lista_descricoes", "lista_descricoes_normalizadas", "lista_fontes", "lista_chaves_produto"]
+    texts = ["cnpj", merge.NORMALIZED, "descricao", "codigo_padrao", "tipo_item_padrao", "NCM_padrao", "CEST_padrao", "GTIN_padrao", "descricao_padrao"]
+    schema = ", ".join([*(f"`{c}` string" for c in texts), *(f"{c} array<string>" for c in lists), "qtd_codigos long, verificado boolean"])
+    return spark.createDataFrame([("1", n, n, c[0], *[None] * 4, n, c, *[[]] * 6, [n], [], k, len(c), True) for n, c, k in rows], schema)
+
+
+def test_merged_lists_are_put_together_without_their_sort_keys(spark, monkeypatch):
+    monkeypatch.setattr(merge, "SEGMENT_BITS", 1)
+    random.seed(7)
+    keys = [str(k) for k in range(8, 25)] + ["007", "0", "a10", "a9", "B1"]
+    codes = [f"[C{k}; 1]" for k in range(1, 12)]
+    random.shuffle(keys)
+    table = mergeable(spark, [("A B", codes[::-1], keys[:9]), ("C D", codes[:4], keys[9:]), ("E", ["[x; 1]"], ["1"]), ("F", ["[y; 1]"], ["2"])])
+    chosen = table.select("cnpj", merge.NORMALIZED, "descricao", F.when(F.col(merge.NORMALIZED).contains(" "), "m").alias("merge_id"), F.lit(1).alias("ord"))
+    for strict in (False, True):
+        rows = merge.selected_rows(table, chosen)
+        merged = merge.merged_rows(rows, chosen, table, strict)
+        plan_text = merged._jdf.queryExecution().optimizedPlan().toString()
+        collected = [part for line in plan_text.splitlines() for part in line.split("collect_list(")[1:]]
+        assert collected and not any("key#" in part.split("collect_list")[0] for part in collected)
+        (row,) = merged.collect()
+        assert (row.merge_id, row.qtd_codigos) == ("m", 11) and row.codigo_padrao == "C1"
+        assert row.lista_codigos == [f"[C{k}; 1]" for k in range(1, 12)]
+        wanted = ["0", "007", *[str(k) for k in range(8, 25)], "a9", "a10", "B1"]
+        assert row.lista_chaves_produto == (None if strict else wanted)
+        assert row.lista_ncm == [] and row.lista_descricoes_normalizadas == ["A B", "C D"]
