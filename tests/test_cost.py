@@ -165,3 +165,25 @@ def test_merged_lists_are_put_together_without_their_sort_keys(spark, monkeypatc
         wanted = ["0", "007", *[str(k) for k in range(8, 25)], "a9", "a10", "B1"]
         assert row.lista_chaves_produto == (None if strict else wanted)
         assert row.lista_ncm == [] and row.lista_descricoes_normalizadas == ["A B", "C D"]
+
+
+def test_evidence_is_dealt_before_values_are_made(spark):
+    texts = ["cnpj", "descricao_normalizada", "codigo", "descricao", "fonte", "tipo_item", "unid_padronizada", "ncm_limpo", "cest_limpo", "gtin_limpo", "co_sefin_inferido"]
+    schema = ", ".join(f"{c} string" for c in texts) + ", n long, score_integridade int, primeira timestamp_ntz, ultima timestamp_ntz"
+    rows = [
+        ("1", "A", "c1", "a", "nfe", "00", "UN", None, "", None, None, 2, 4, None, None),
+        ("1", "A", "c1", "a", "c170", "00", "KG", "12", "", None, None, 3, 6, None, None),
+        ("1", "A", "", "a", "nfe", None, "UN", None, None, None, "s", 5, 0, None, None),
+        ("1", None, "c1", "-", "nfe", None, "UN", None, None, None, "s", 7, 0, None, None),
+    ]
+    found = groups.evidence(spark.createDataFrame(rows, schema))
+    lines = plan(found).splitlines()
+    exchanges = [k for k, line in enumerate(lines) if "Exchange" in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_COL" in lines[exchanges[0]]
+    assert any("Generate" in line for line in lines[: exchanges[0]])
+    got = {(r.codigo_item, r.kind, r.value): (r.freq, r.score) for r in found.collect()}
+    assert got == {
+        ("c1", "codigo", "c1"): (5, 6), ("c1", "descricao", "a"): (5, 6), ("c1", "tipo_item", "00"): (5, 6), ("c1", "ncm", "12"): (3, 6),
+        ("c1", "unid", "UN"): (2, 4), ("c1", "unid", "KG"): (3, 6), ("c1", "fonte", "nfe"): (2, 4), ("c1", "fonte", "c170"): (3, 6),
+        ("", "codigo", ""): (5, 0), ("", "descricao", "a"): (5, 0), ("", "unid", "UN"): (5, 0), ("", "fonte", "nfe"): (5, 0), ("", "co_sefin", "s"): (5, 0),
+    }
